@@ -1,4 +1,51 @@
-"""Placeholder until the stages are in place."""
+"""A corpus-cleaning pipeline of five operators, each stage written as Parquet and reread.
 
-STAGES = []
+Every stage but the last returns the columns of `documents`. Toxic documents go; near-equal
+lines stay once; of each group of near-duplicates the document of smallest id stays;
+contaminated documents go; what is left is encoded and decoded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from voltlake.llm._spark import cut, table
+from voltlake.llm.bpe import encode_documents, vocabulary_path
+from voltlake.llm.decontaminate import decontaminate
+from voltlake.llm.line_dedup import dedup_lines
+from voltlake.llm.simhash import keep_one
+from voltlake.llm.toxicity import keep_clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded."""
+    return encode_documents(docs, vocabulary_path())
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("bpe", bpe)]
+
+#: No stage but filters by rules can be put in SQL; tests/llm/test_pipeline.py has brute-force versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
