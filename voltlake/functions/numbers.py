@@ -48,3 +48,8 @@ def clip(c: Column, low: float, high: float) -> Column:
 def money(c: Column) -> Column:
     """Short text in millions or thousands of pounds."""
     return F.when(F.abs(c) >= 1e6, F.format_string("£%.2fM", c / 1e6)).otherwise(F.format_string("£%.0fk", c / 1e3))
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation as an aggregate; null, not an error, where a column is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

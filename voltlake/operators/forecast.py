@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import correlation
 from .features import columns_for, curve_features
 from .models import build
 
@@ -30,7 +31,7 @@ def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     both = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return average_ranks(average_ranks(both, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"))
+    return average_ranks(average_ranks(both, a, "_ra"), b, "_rb").agg(correlation("_ra", "_rb").alias("rho"))
 
 
 def metrics(scored: DataFrame, actual: str = "spot", predicted: str = "prediction", least_spikes: int = 10) -> DataFrame:

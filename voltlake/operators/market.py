@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.constants import MARKETS
+from ..functions.numbers import correlation as pearson
 
 
 def clearing_trend(auctions: DataFrame, days: int = 28) -> DataFrame:
@@ -76,7 +77,7 @@ def price_against_service(prices: DataFrame, auctions: DataFrame, service: str =
 
 
 def correlation(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.corr(a, b).alias("corr"), F.count("*").alias("n"))
+    return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(pearson(a, b).alias("corr"), F.count("*").alias("n"))
 
 
 def dense_generation(generation: DataFrame) -> DataFrame:

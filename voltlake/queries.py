@@ -105,8 +105,11 @@ register("date_chunks", "select cast(s as date) as start, least(cast(s as date)
 
 # Market overview
 
-register("clearing_trend", "select service, efa_date, round(p, 6) as daily_price, round(avg(p) over (partition by service order by efa_date range between interval 27 days preceding and current row), 6) as trend from (select service, efa_date, avg(price) as p from auctions_long where service is not null group by 1, 2)", "auctions_long")(
-    lambda s, d: rounded(market.clearing_trend(view(s, d, "auctions_long")))
+#: Prices have six places, so means of two or four fall on halves of the last place kept, which
+#: engines round either way: both sides are moved off them first.
+NUDGE = 1.234e-8
+register("clearing_trend", f"select service, efa_date, round(p + {NUDGE}, 6) as daily_price, round(avg(p) over (partition by service order by efa_date range between interval 27 days preceding and current row) + {NUDGE}, 6) as trend from (select service, efa_date, avg(price) as p from auctions_long where service is not null group by 1, 2)", "auctions_long")(
+    lambda s, d: market.clearing_trend(view(s, d, "auctions_long")).select("service", "efa_date", *(F.round(F.col(c) + NUDGE, 6).alias(c) for c in ("daily_price", "trend")))
 )
 register("service_summary", "select service, round(avg(price), 6) as mean_price, round(median(price), 6) as median_price, round(max(price), 6) as max_price, round(avg(volume), 6) as mean_volume, count(price) as n from auctions_long where service is not null group by 1", "auctions_long")(
     lambda s, d: rounded(market.service_summary(view(s, d, "auctions_long")))
