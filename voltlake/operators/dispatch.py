@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.constants import SOC_LOWER, SOC_UPPER
+from ..session import ship
 from .allocation import block_ends, in_blocks
 from .lp import solve
 
@@ -47,6 +48,7 @@ def greedy(ends: DataFrame, plan: DataFrame, cells: DataFrame, soc_rule: str = "
     use = ends.select("scenario", "efa_date", "efa", "buy", "sell").where("buy is not null and sell is not null")
     rows = use.join(plan.where("arb_mw > 0").select("scenario", "efa_date", "efa", "arb_mw"), ["scenario", "efa_date", "efa"])
     rows = rows.join(F.broadcast(cells), "scenario")
+    ship(rows.sparkSession)
     return rows.groupBy("scenario").applyInPandas(_greedy(soc_rule), TRADES)
 
 
@@ -100,6 +102,7 @@ def rolling(periods: DataFrame, cells: DataFrame, horizon: int = 96) -> DataFram
     step. periods: scenario, day, sp, price, forecast, arb_mw. A missing actual price skips the
     half-hour, a missing forecast counts 0."""
     rows = periods.join(F.broadcast(cells), "scenario")
+    ship(rows.sparkSession)
     return rows.groupBy("scenario").applyInPandas(_rolling(horizon), STEPS)
 
 

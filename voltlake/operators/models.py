@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import signed_exp, signed_log
+from ..session import ship
 
 
 def _filled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -134,6 +135,7 @@ class PeriodLinearModel:
                 out = {"settlement_period": [rows["settlement_period"].iloc[0]], "weights": [w.tolist()], "intercept": [b]}
             return pd.DataFrame(out)
 
+        ship(df.sparkSession)
         data = _filled(df, columns).select("settlement_period", "spot", *columns)
         self.weights = data.groupBy("settlement_period").applyInPandas(one, "settlement_period int, weights array<double>, intercept double").persist()
         return self
@@ -177,6 +179,7 @@ class NeuralModel:
 
     def predict(self, df: DataFrame) -> DataFrame:
         state, columns = self.state, self.columns
+        ship(df.sparkSession)
 
         @F.pandas_udf("double")
         def score(x: pd.DataFrame) -> pd.Series:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +23,19 @@ def build(master: str = "local[*]", app: str = "voltlake", partitions: int = 8)
     for k, v in SETTINGS.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once an application, unless they find it on
+    their own: by PYTHONPATH, or in the folder that they start in."""
+    root = Path(__file__).resolve().parents[1]
+    known = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] + [Path.cwd()]
+    app = spark.sparkContext.applicationId
+    if root in known or app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    folder = tempfile.mkdtemp(prefix="voltlake-")  # the driver serves it to the executors
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/voltlake", "zip", root, "voltlake"))
