@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 ARROW_BYTES = 8 << 20
 ARROW_ROWS = 4096
 
@@ -34,6 +36,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def arrow_limits(spark: SparkSession) -> None:
     """Bound the bytes and rows that go to a Python worker at once; a row goes whole."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

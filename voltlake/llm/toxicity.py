@@ -34,7 +34,7 @@ from ._text import ALNUM, blocks, byte_class, lower, prefix_sums, span_hashes, w
 FIT_ROWS = 4000
 STEM_BYTES = range(3, 13)
 MIN_TOXIC = 8
-MIN_LOG_ODDS = 2.5
+MIN_LOG_ODDS = 4.0
 MAX_STEMS = 5000
 THRESHOLD = 0.7
 SCOPE = 4
@@ -288,14 +288,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """text and toxic of at most about `fit_rows` distinct labelled documents of each class,
+    """text and toxic of at most about `fit_rows` labelled documents of each class, near copies once,
     among those whose crc32(doc_id as text) mod 3 is not 1."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = known.where(" or ".join(f"(toxic = {t} and pmod(xxhash64(doc_id), 1000000) < {int(1e6 * min(1, fit_rows / max(1, c)))})" for t, c in n.items() if t in (0, 1)) or "false")
     rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most about 2 * fit_rows ids
-    return rows.where("text is not null").groupBy(F.sha2("text", 256)).agg(F.any_value("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    # Near copies share most of their long words and so, as a rule, the one of least hash: one
+    # of them stays, else what is rare in a much copied text would pass for a sign of its label.
+    rare = F.array_min(F.transform(F.filter(F.split("text", r"[\s,.;:!?|]+"), lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w)))
+    return rows.where("text is not null").groupBy(F.coalesce(rare, F.xxhash64("text"))).agg(F.any_value("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
