@@ -41,6 +41,7 @@ def perfect_foresight(auctions: DataFrame, market_index: DataFrame, cells: DataF
         raise ValueError(f"unknown method {method}")
     all_prices, prices = al.spot_prices(market_index), al.spot_prices(market_index, start, end)
     plan = al.schedule(auctions, prices, cells, services, start, end) if fr_mw is None else al.fixed_schedule(prices, cells, fr_mw)
+    plan = plan.persist()  # six rows a day and scenario, read by income, dispatch and summary
     if method == "greedy":
         days = plan.select("efa_date").distinct()
         trades = di.greedy(al.block_ends(all_prices, cells).join(days, "efa_date", "left_semi"), plan, cells)
@@ -57,7 +58,7 @@ def forecast_driven(auctions: DataFrame, market_index: DataFrame, cells: DataFra
     elif strategy != "ml" or forecast is None:
         raise ValueError(f"unknown strategy {strategy}, or no forecast")
     forecast = date_range(forecast, "day", start, end).join(actual.select("day").distinct(), "day", "left_semi")
-    plan = al.schedule(auctions, forecast, cells, services, start, end)
+    plan = al.schedule(auctions, forecast, cells, services, start, end).persist()
     if method == "greedy":
         trades = di.greedy(di.forecast_ends(forecast, actual, cells), plan, cells, "discharged")
         return _result(auctions, plan, trades, cells, services, start, end, True, None)

@@ -253,7 +253,8 @@ _FTRADES = "with recursive " + _BASE.replace("auctions a left join plan", "aucti
 
 
 def _inputs(s, d):
-    return view(s, d, "auctions"), view(s, d, "market_index"), bt.reference_cells(s)
+    """Aggregates of a row a block and a half-hour, which a back-test reads several times."""
+    return view(s, d, "auctions").persist(), view(s, d, "market_index").persist(), bt.reference_cells(s)
 
 
 def _plan(s, d):
