@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 _BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -78,7 +78,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.nd
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 2 * BLOCK_BYTES)
+        size = max(n, BLOCK_BYTES + 1)
         base = _BASES[which]
         inverse = U(pow(int(base), -1, 1 << 64))
         out = []

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._spark import arrow_limits, table
 from ._text import blocks, ragged, span_hashes
 
-STORE = 300_000
+STORE = 200_000
 LETTER, NUMBER, SPACE, OTHER, ADDED = range(5)
 #: The endings that the pre-tokenizer splits off.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -261,7 +261,7 @@ def _step(path: str, special: bool, texts: bool):
             decoded = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
             columns = [pa.array(np.diff(at), pa.int64())]
             if texts:
-                columns += [pa.array([packed[a:b] for a, b in zip(at, at[1:])], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                columns += [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(packed.view(np.int32))), pa.array(decoded, pa.string())]
             else:
                 columns += [
                     pa.array([hashlib.sha256(packed[a:b].tobytes()).hexdigest() for a, b in zip(at, at[1:])]),

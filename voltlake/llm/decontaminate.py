@@ -34,7 +34,8 @@ from ._text import ALNUM, U, blocks, lower, mix, sliding_min, span_hashes, words
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
-ADDED = "n_words bigint, hit_spans array<bigint>, hit_items array<string>"
+ADDED = "n_words bigint, hit_spans array<bigint>, hit_items array<string>, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
+NAMES = [x.split()[0] for x in ADDED.split(", ")]
 
 
 def gram_sizes(length: int) -> tuple[int, int]:
@@ -114,6 +115,15 @@ class Index:
                         yield int(first), int(last), ids
 
 
+def covered(spans: list[int] | None) -> int:
+    """Words in the union of spans."""
+    n, end = 0, 0
+    for a, b in sorted(zip((spans or [])[::2], (spans or [])[1::2])):
+        n += max(0, b - max(a, end))
+        end = max(end, b)
+    return n
+
+
 def _step(index, first: bool):
     def run(batches):
         ix = index.value
@@ -131,24 +141,32 @@ def _step(index, first: bool):
                 row = rows[a]
                 spans[row] += [a - int(base[row]), b - int(base[row])]
                 items[row].update(ids)
-            own = [i for i, name in enumerate(part.schema.names) if name not in ("n_words", "hit_spans", "hit_items")]
+            own = [i for i, name in enumerate(part.schema.names) if name not in NAMES]
+            hit, found = [covered(x) for x in spans], [sorted(x) for x in items]
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(i) for i in own), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=[*(part.schema.names[i] for i in own), "n_words", "hit_spans", "hit_items"],
-            )
+                [
+                    *(part.column(i) for i in own),
+                    pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())),
+                    pa.array(hit, pa.int64()), pa.array(map(len, found), pa.int64()),
+                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in found], pa.string()),
+                    pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n_words.tolist())], pa.bool_()),
+                ],
+                names=[*(part.schema.names[i] for i in own), *NAMES],
+            )
 
     return run
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`documents` (text and any other columns) with n_words, hit_spans (first word and last
-    word + 1 of each shared run, flattened) and hit_items (item ids as sorted strings)."""
+    word + 1 of each shared run, flattened), hit_items (item ids as sorted strings), n_hit,
+    n_items, items_sha256 and contaminated (a twentieth of the words or more is hit)."""
     spark = documents.sparkSession
     arrow_limits(spark)
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, math.ceil(total / block_bytes * (1.25 if total > block_bytes else 1)))
-    out = documents.drop("n_words", "hit_spans", "hit_items")
+    out = documents.drop(*NAMES)
     schema = T.StructType([*out.schema.fields, *T._parse_datatype_string(ADDED).fields])
     for k in range(n_blocks):
         part = bench if n_blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
@@ -157,34 +175,9 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return out
 
 
-def covered(spans: list[int] | None) -> int:
-    """Words in the union of spans."""
-    n, end = 0, 0
-    for a, b in sorted(zip((spans or [])[::2], (spans or [])[1::2])):
-        n += max(0, b - max(a, end))
-        end = max(end, b)
-    return n
-
-
-def _judge(batches):
-    for b in batches:
-        hit = [covered(s) for s in b.column("hit_spans").to_pylist()]
-        items = b.column("hit_items").to_pylist()
-        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-        n = b.column("n_words").to_pylist()
-        names = [x for x in b.schema.names if x not in ("hit_spans", "hit_items")]
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(x) for x in names), pa.array(hit, pa.int64()), pa.array(map(len, items), pa.int64()), pa.array(digest), pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)])],
-            names=[*names, "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
-
-
 def judge(hits: DataFrame) -> DataFrame:
-    """Adds n_hit, n_items, items_sha256 and contaminated (a twentieth of the words or more is
-    hit) to what `find_hits` gives."""
-    drop = ("hit_spans", "hit_items", "n_hit", "n_items", "items_sha256", "contaminated")
-    schema = T.StructType([f for f in hits.schema.fields if f.name not in drop] + T._parse_datatype_string("n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean").fields)
-    return hits.drop("n_hit", "n_items", "items_sha256", "contaminated").mapInArrow(_judge, schema)
+    """What `find_hits` gives, without the spans and the items themselves."""
+    return hits.drop("hit_spans", "hit_items")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
