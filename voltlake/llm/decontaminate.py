@@ -190,3 +190,29 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = judge(find_hits(docs, table(spark, sf_dir, "benchmark")))
     return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+#: Every window of either side as text; joined as they stand.
+OP1_SQL = r"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents
+), b as (
+  select item_id, w, least(13, len(w)) as n from (
+    select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark)
+  where len(w) > 0
+), bw as (
+  select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as g from (select *, unnest(range(1, len(w) - n + 2)) as i from b)
+), dw as (
+  select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as g from (
+    select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from b) where len(w) >= n)
+), hit as (
+  select doc_id, n, i, item_id from dw join bw using (n, g)
+), places as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by 1
+), found as (
+  select doc_id, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as ids from hit group by 1
+)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join places p on p.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
-from .decontaminate import op1_decontamination
+from .decontaminate import OP1_SQL, op1_decontamination
 from .digest import op4_fingerprints
 from .line_dedup import op6_line_dedup
 from .lm_score import op2_lm_scores
@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op10_url_filter": OP10_SQL}
