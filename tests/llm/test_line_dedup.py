@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from voltlake.llm.line_dedup import SHINGLE, dedup_lines, forest, rewrite
@@ -61,10 +62,10 @@ def corpus(n=120, seed=1):
     return texts
 
 
-@pytest.mark.parametrize(("tile", "shared"), [(256, 1_000_000), (3, 0)])
-def test_against_brute_force(spark, docs, tile, shared):
+@pytest.mark.parametrize(("chunk", "tile", "shared"), [(256, 1024, 1_000_000), (2, 3, 0)])
+def test_against_brute_force(spark, docs, chunk, tile, shared):
     texts = corpus()
-    got = {r.row.doc_id: r.kept_text for r in rewrite(docs(texts), tile=tile, shared_lines=shared).collect()}
+    got = {r.row.doc_id: r.kept_text for r in rewrite(docs(texts), chunk=chunk, tile=tile, shared_lines=shared).collect()}
     want = brute(texts)
     wrong = [(i, got[i], want[i]) for i in range(len(texts)) if got[i] != want[i]]
     assert len(got) == len(texts) and len(wrong) <= 1, wrong  # bands find a link with high probability, not for certain
@@ -86,3 +87,10 @@ def test_forest_links():
     texts = [base, base + "!", "zzz", base[:-1], "another text that has nothing in common with the first of them"]
     got = forest([t.encode() for t in texts])
     assert {frozenset(p) for p in got} <= {frozenset(p) for p in [(0, 1), (0, 3), (1, 3)]} and len(got) == 2
+
+
+def test_forest_across_labels():
+    texts = [b"abcdefghijklmnopqrstuvwxyz" + bytes([48 + i]) for i in range(6)] + [b"something else entirely here"]
+    label = np.array([5, 5, 5, 7, 7, 9, 11])
+    got = forest(texts, label)
+    assert 2 <= len(got) <= 3 and {label[i] for p in got for i in p} == {5, 7, 9}

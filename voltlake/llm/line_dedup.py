@@ -7,10 +7,10 @@ by the exact Jaccard similarity of their shingle sets, and connected components
 links of `SIMILARITY` or more. Of a component's lines the one in the document of smallest id
 stays, and there the first; blank lines stay.
 
-Equal lines are one row from the first aggregation on. Buckets are sorted and streamed; those
-of more than `TILE` lines are dealt into tiles of two blocks each; a bucket or tile returns a
-spanning forest of its links, so no link between components is lost and no list of all pairs is
-made. What is decided about lines meets the documents in one stream: by a broadcast table if
+Equal lines are one row from the first aggregation on. Buckets are sorted and streamed, in
+chunks of about `CHUNK` lines; what is then still apart in a larger bucket is compared across
+components in tiles of two blocks. A chunk or tile returns a spanning forest of its links, so
+no link between components is lost and no list of all pairs is made. What is decided about lines meets the documents in one stream: by a broadcast table if
 it has at most `SHARED_LINES` rows, else by joins.
 
 Defined results: a null text has no lines and stays null; an empty one has a single blank
@@ -38,7 +38,8 @@ BANDS = 12
 ROWS = 5
 BINS = BANDS * ROWS
 KEY_BITS = 48
-TILE = 256
+CHUNK = 256
+TILE = 1024
 SHARED_LINES = 1_000_000
 BLOCK_BYTES = 1 << 20
 BAND_NAMES = [f"b{i}" for i in range(BANDS)]
@@ -247,8 +248,28 @@ def line_texts(documents: DataFrame, wanted: DataFrame, shared_lines: int) -> Da
     return _told(documents, wanted, ["k1", "k2", "first_doc"]).mapInArrow(_text_step(None), "k1 bigint, k2 bigint, line string")
 
 
-def forest(texts: list[bytes], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the links among lines."""
+def _shared_counts(run: np.ndarray, values: np.ndarray, n: int, some: np.ndarray) -> np.ndarray:
+    """Shingles that each of `some` has in common with each of n lines, by matrix products over
+    slices of the shingles that two lines or more have."""
+    _, number, times = np.unique(values, return_inverse=True, return_counts=True)
+    often = times[number] > 1
+    run, number = run[often], (np.cumsum(times > 1) - 1)[number[often]]
+    order = np.argsort(number, kind="stable")
+    run, number = run[order], number[order]
+    out = np.zeros((len(some), n), np.float32)
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        a, b = np.searchsorted(number, [first, first + 4096])
+        has = np.zeros((n, 4096), np.float32)
+        has[run[a:b], number[a:b] - first] = 1
+        out += has[some] @ has.T
+    return out
+
+
+def forest(texts: list[bytes], label: np.ndarray | None = None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the links among lines. Lines of one label are
+    known to be connected: they are not compared with one another."""
+    n = len(texts)
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - np.array([len(t) for t in texts])
     run, h = shingles(lower(np.frombuffer(b"".join(texts), np.uint8)), starts, ends)
@@ -256,40 +277,37 @@ def forest(texts: list[bytes], similarity: float = SIMILARITY) -> list[tuple[int
     run, h = run[order], h[order]
     fresh = np.r_[True, (run[1:] != run[:-1]) | (h[1:] != h[:-1])]
     run, h = run[fresh], h[fresh]
-    size = np.bincount(run, minlength=len(texts))
-    at = np.cumsum(size) - size
-    todo, out = np.ones(len(texts), bool), []
-    for seed in range(len(texts)):
-        if not todo[seed]:
-            continue
-        front = [seed]
+    size = np.bincount(run, minlength=n).astype(np.float64)
+    few = np.flatnonzero(label != np.argmax(np.bincount(label)))
+    both = _shared_counts(run, h, n, few)
+    near = np.zeros((n, n), bool)
+    near[few] = both >= similarity * (size[few][:, None] + size[None, :] - both) - 1e-6
+    near[:, few] |= near[few].T
+    todo, out = np.ones(n, bool), []
+    for seed in range(n):
+        front = [seed] if todo[seed] else []
         todo[seed] = False
         while front:
             i = front.pop()
-            other = np.flatnonzero(todo & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9))
-            if not len(other):
-                continue
-            own = h[at[i] : at[i] + size[i]]
-            r, k = ragged(size[other])
-            values = h[at[other][r] + k]
-            place = np.minimum(np.searchsorted(own, values), len(own) - 1)
-            both = np.bincount(r, weights=own[place] == values, minlength=len(other))
-            linked = other[both >= similarity * (size[other] + size[i] - both) - 1e-9]
-            out += [(i, int(j)) for j in linked]
-            front += linked.tolist()
+            mates = np.flatnonzero(todo & (label == label[i]))
+            todo[mates] = False
+            linked = np.flatnonzero(near[i] & todo)
             todo[linked] = False
+            out += [(i, int(j)) for j in linked]
+            front += mates.tolist() + linked.tolist()
     return out
 
 
 def _link_step(n_keys: int):
-    """Rows (keys..., k1, k2, line) sorted by keys: a forest of each group."""
+    """Rows (keys..., k1, k2, label, line) sorted by keys: a forest of each group."""
 
     def links(rows):
-        seen = {(r[-3], r[-2]): r[-1] for r in rows}
+        seen = {(r[-4], r[-3]): r for r in rows}
         ids = list(seen)
         if len(ids) < 2:
             return
-        pairs = forest([seen[i].encode() for i in ids])
+        label = None if rows[0][-2] is None else np.array([r[-2] for r in seen.values()])
+        pairs = forest([r[-1].encode() for r in seen.values()], label)
         if pairs:
             columns = [[ids[p[side]][k] for p in pairs] for side in (0, 1) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a1", "a2", "b1", "b2"])
@@ -307,27 +325,48 @@ def _link_step(n_keys: int):
     return run
 
 
-def links(buckets: DataFrame, texts: DataFrame, tile: int = TILE) -> DataFrame:
-    """Edges (a1, a2, b1, b2) between line keys."""
-    out = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
-    usual = buckets.where(F.col("n") <= tile).join(texts, ["k1", "k2"]).select("key", "k1", "k2", "line")
-    usual = usual.repartition("key").sortWithinPartitions("key").mapInArrow(_link_step(1), out)
+LINKS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
+
+
+def _linked(rows: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
+    rows = rows.join(texts, ["k1", "k2"]).select(*keys, "k1", "k2", "label", "line")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link_step(len(keys)), LINKS)
+
+
+def as_edges(found: DataFrame) -> DataFrame:
+    return found.select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b"))
+
+
+def line_components(buckets: DataFrame, texts: DataFrame, chunk: int = CHUNK, tile: int = TILE) -> DataFrame:
+    """node, component of the linked lines; a line's node is xxhash64(k1, k2).
+
+    First every bucket's lines are compared within chunks, which is all there is to do for
+    buckets of one. Large buckets that are not yet of one component then compare lines of
+    different components, in tiles of two blocks."""
+    m = F.ceil(F.col("n") / chunk).cast("int")
+    node = F.xxhash64("k1", "k2")
+    one = cut(_linked(buckets.withColumn("i", F.pmod(node, m).cast("int")).withColumn("label", F.lit(None).cast("bigint")), texts, ["key", "i"]), "links")
+    component = connected_components(as_edges(one))
+    large = buckets.where(F.col("n") > chunk).join(component, node == F.col("node"), "left").withColumn("label", F.coalesce("component", node)).select("key", "k1", "k2", "n", "label")
+    apart = large.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    large = cut(large.join(apart, "key"), "apart")
+    if large.isEmpty():
+        return component
     m = F.ceil(F.col("n") / tile).cast("int")
-    dealt = buckets.where(F.col("n") > tile).withColumn("own", F.pmod(F.xxhash64("k1", "k2"), m).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
-    tiles = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k1", "k2").join(texts, ["k1", "k2"]).select("key", "i", "j", "k1", "k2", "line")
-    tiled = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_link_step(3), out)
-    return usual.unionAll(tiled)
+    dealt = large.withColumn("own", F.pmod(F.xxhash64("k2", "k1"), m).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
+    tiles = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("key", "i", "j", "k1", "k2", "label")
+    more = as_edges(cut(_linked(tiles, texts, ["key", "i", "j"]), "links"))
+    return connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
 
-def decide(documents: DataFrame, tile: int = TILE, shared_lines: int = SHARED_LINES) -> DataFrame:
+def decide(documents: DataFrame, chunk: int = CHUNK, tile: int = TILE, shared_lines: int = SHARED_LINES) -> DataFrame:
     """k1, k2, owner, component of every line that more than one document has, or that has
     near-equal lines: it stays in the owner alone, and there once for its component."""
     found = cut(line_table(documents), "lines")
     buckets = cut(shared_buckets(found), "buckets")
     wanted = buckets.select("k1", "k2").distinct().join(found.select("k1", "k2", "first_doc"), ["k1", "k2"])
     texts = cut(line_texts(documents, cut(wanted, "wanted"), shared_lines), "texts")
-    edges = cut(links(buckets, texts, tile), "links").select(F.xxhash64("a1", "a2").alias("a"), F.xxhash64("b1", "b2").alias("b"))
-    component = connected_components(edges)
+    component = line_components(buckets, texts, chunk, tile)
     many = found.select("k1", "k2", "first_doc", "n_docs").join(component, F.xxhash64("k1", "k2") == F.col("node"), "left").where("node is not null or n_docs > 1")
     many = cut(many.select("k1", "k2", "first_doc", "component"), "many")
     owners = many.where("component is not null").groupBy("component").agg(F.min("first_doc").alias("owner"))
@@ -368,10 +407,10 @@ def _rewrite_step(shared):
     return run
 
 
-def rewrite(documents: DataFrame, tile: int = TILE, shared_lines: int = SHARED_LINES) -> DataFrame:
+def rewrite(documents: DataFrame, chunk: int = CHUNK, tile: int = TILE, shared_lines: int = SHARED_LINES) -> DataFrame:
     """row (the document's columns), n_lines, n_kept and kept_text of every document."""
     arrow_limits(documents.sparkSession)
-    decisions = cut(decide(documents.select("doc_id", "text").where("doc_id is not null"), tile, shared_lines), "decided")
+    decisions = cut(decide(documents.select("doc_id", "text").where("doc_id is not null"), chunk, tile, shared_lines), "decided")
     rows = documents.select("doc_id", "text", F.struct(*documents.columns).alias("row"))
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_lines bigint, n_kept bigint, kept_text string").fields])
     if decisions.count() <= shared_lines:
@@ -380,12 +419,12 @@ def rewrite(documents: DataFrame, tile: int = TILE, shared_lines: int = SHARED_L
     return _told(rows, decisions, ["k1", "k2", "owner", "component"]).mapInArrow(_rewrite_step(None), schema)
 
 
-def dedup_lines(documents: DataFrame, tile: int = TILE, shared_lines: int = SHARED_LINES) -> DataFrame:
+def dedup_lines(documents: DataFrame, chunk: int = CHUNK, tile: int = TILE, shared_lines: int = SHARED_LINES) -> DataFrame:
     """`documents` with the lines that stay; n_chars, if it is there, follows."""
     row = F.col("row").withField("text", F.col("kept_text"))
     if "n_chars" in documents.columns:
         row = row.withField("n_chars", F.length("kept_text").cast(documents.schema["n_chars"].dataType))
-    return rewrite(documents, tile, shared_lines).select(row.alias("row")).select("row.*")
+    return rewrite(documents, chunk, tile, shared_lines).select(row.alias("row")).select("row.*")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
