@@ -4,7 +4,7 @@ from itertools import pairwise
 
 import pytest
 
-from voltlake.llm.shards import shard
+from voltlake.llm.shards import even_cuts, local_cuts, minimax_cuts, shard
 
 
 def capacity(sizes, n):
@@ -54,6 +54,28 @@ def test_minimax(spark, docs, kind):
     check(shard(docs(texts), n).collect(), texts, n)
 
 
+def test_even_cuts():
+    r = random.Random(2)
+    for _ in range(200):
+        sizes = [r.choice([1, 5, 30, 200]) for _ in range(r.randrange(1, 80))]
+        ends = [0]
+        for x in sizes:
+            ends.append(ends[-1] + x)
+        c = capacity(sizes, 8)
+        cuts, greedy = even_cuts(ends, c, ends[-1], 8), local_cuts(ends, c, ends[-1], 8)
+        parts = lambda x: [b - a for a, b in zip([0, *x], x)]
+        assert max(parts(cuts)) <= c and sum(parts(cuts)) == ends[-1] and set(cuts) <= set(ends)
+        off = lambda x: sum((p - ends[-1] / 8) ** 2 for p in parts(x))
+        assert off(cuts) <= off(greedy) + c * c
+
+
+def test_narrowing_by_jobs(spark, docs, monkeypatch):
+    monkeypatch.setattr("voltlake.llm.shards.minimax_cuts", lambda e, n: minimax_cuts(e, n, near_rows=3))
+    r = random.Random(8)
+    texts = ["w" * r.randrange(90) + str(i) for i in range(40)]
+    check(shard(docs(texts), 4).collect(), texts, 4)
+
+
 def test_empty_repeated_and_extra_columns(spark, docs):
     assert shard(docs([])).count() == 0
     d = docs(["a", "b"]).selectExpr("*", "1 as size", "'q' as shard", "7 as h")

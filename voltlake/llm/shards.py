@@ -2,9 +2,11 @@
 
 Groups of equal texts are atomic. They are put in one fixed order, that of their text's hash,
 and cut into `n_shards` contiguous shards so that the largest shard has as few bytes as
-possible. The smallest feasible capacity is found by binary search in k-ary steps: one job
-follows the greedy cuts of many capacities at once, a step per shard, against running sums
-that were written once, in order, so that each step reads the few row groups around its cuts.
+possible. The smallest feasible capacity is found by binary search, each capacity checked by
+greedy cuts against running sums that were written once, in order. The check needs only the
+group ends near the cuts: if a bounded number of them is in question the search runs on those,
+else jobs that follow many capacities at once, a step per shard, narrow the question first. At
+that capacity each cut is made as near to its even share as the capacity allows.
 
 A group may hold any share of the rows: rows are salted by doc_id inside their group, so that
 no task gets more than one cell of a group. Running sums are made in a fixed number of hash
@@ -17,6 +19,10 @@ no rows. A group larger than the even share makes its shard that large and no la
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +32,7 @@ N_SHARDS = 16
 SALTS = 256
 BLOCKS = 4096
 PROBES = 32
+NEAR_ROWS = 200_000
 
 
 def sizes(documents: DataFrame) -> DataFrame:
@@ -87,22 +94,67 @@ def greedy_cuts(ends: DataFrame, capacities: list[int], largest: int, total: int
     return cuts
 
 
-def minimax_cuts(ends: DataFrame, n_shards: int) -> list[int]:
-    """Cut positions of the smallest feasible capacity. ends: bytes_end of every group."""
+def local_cuts(near: list[int], capacity: int, total: int, n_shards: int) -> list[int]:
+    """Greedy cuts among `near`, the sorted ends that any capacity in question can cut at."""
+    at, cuts = 0, []
+    for _ in range(n_shards):
+        at = total if at + capacity >= total else max(at, near[bisect_right(near, at + capacity) - 1])
+        cuts.append(at)
+    return cuts
+
+
+def even_cuts(near: list[int], capacity: int, total: int, n_shards: int) -> list[int]:
+    """Cuts within the capacity, each as near to its even share as the earlier and the later
+    shards allow; the greedy ones if `near` doesn't hold the ends that this takes."""
+    least = [total] * (n_shards + 1)  # the earliest cut from which the rest still fits
+    for k in range(n_shards - 1, 0, -1):
+        least[k] = near[min(bisect_left(near, least[k + 1] - capacity), len(near) - 1)]
+    at, cuts = 0, []
+    for k in range(1, n_shards):
+        a, b = bisect_left(near, max(least[k], at)), bisect_right(near, at + capacity) - 1
+        goal = bisect_left(near, k * total / n_shards)
+        best = min((i for i in (goal - 1, goal) if 0 <= i < len(near)), key=lambda i: abs(near[i] - k * total / n_shards))
+        at = near[max(0, min(max(best, a), b))]
+        cuts.append(at)
+    cuts.append(total)
+    if all(0 <= b - a <= capacity for a, b in zip([0, *cuts], cuts)):
+        return cuts
+    return local_cuts(near, capacity, total, n_shards)
+
+
+def minimax_cuts(ends: DataFrame, n_shards: int, near_rows: int = NEAR_ROWS) -> list[int]:
+    """Cut positions of the smallest feasible capacity. ends: bytes_end of every group.
+
+    For the capacities in question, lo to hi, the k-th cut lies in a known range. If these
+    ranges hold at most `near_rows` ends, the search goes on among those alone; else jobs that
+    follow `PROBES` capacities at once narrow lo and hi first."""
     w = ends.agg(F.max("bytes_end").alias("total"), F.max("group_bytes").alias("largest")).first()
     total, largest = w["total"] or 0, w["largest"] or 0
     if not total:
         return [0] * n_shards
-    lo, hi = max(largest, -(-total // n_shards)), -(-total // n_shards) + largest  # hi is always feasible
-    best = None
-    while best is None or lo < hi:
-        step = max(1, -(-(hi - lo) // PROBES))
-        capacities = sorted({*range(lo, hi, step), hi})
+    even = -(-total // n_shards)
+    lo, hi = max(largest, even), even + largest  # hi is always feasible
+    ranges = [(k * (lo - largest), k * hi) for k in range(1, n_shards)]
+    while True:
+        inside = ends.where(reduce(or_, (F.col("bytes_end").between(a, b) for a, b in ranges), F.lit(False)))
+        if inside.count() <= near_rows:
+            near = [0, *inside.agg(F.sort_array(F.collect_list("bytes_end"))).first()[0]]
+            while lo < hi:
+                middle = (lo + hi) // 2
+                if local_cuts(near, middle, total, n_shards)[-1] == total:
+                    hi = middle
+                else:
+                    lo = middle + 1
+            return even_cuts(near, lo, total, n_shards)
+        capacities = sorted({*range(lo, hi, max(1, -(-(hi - lo) // PROBES))), hi})
         cuts = greedy_cuts(ends, capacities, largest, total, n_shards)
         k = next(i for i, c in enumerate(cuts) if c[-1] == total)
-        best, hi = cuts[k], capacities[k]
-        lo = capacities[k - 1] + 1 if k else hi
-    return best
+        if k == 0:
+            return cuts[0]
+        lo, hi = capacities[k - 1] + 1, capacities[k]
+        if lo == hi:
+            return cuts[k]
+        ranges = list(zip(cuts[k - 1], cuts[k]))
 
 
 def shard(documents: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
