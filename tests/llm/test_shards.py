@@ -76,6 +76,22 @@ def test_narrowing_by_jobs(spark, docs, monkeypatch):
     check(shard(docs(texts), 4).collect(), texts, 4)
 
 
+@pytest.mark.parametrize("hot", [0, 3000, 9000])
+def test_same_cuts_by_jobs(spark, hot):
+    r = random.Random(hot)
+    sizes = [r.choice([1, 5, 30, 90]) for _ in range(300)]
+    sizes.insert(120, max(hot, 1))
+    at, rows = 0, []
+    for x in sizes:
+        at += x
+        rows.append((at, x))
+    ends = spark.createDataFrame(rows, "bytes_end bigint, group_bytes bigint").cache()
+    whole = minimax_cuts(ends, 16)
+    assert minimax_cuts(ends, 16, near_rows=3) == whole
+    assert minimax_cuts(ends, 16, near_rows=60) == whole
+    assert hot < 9000 or len(set(whole)) > 6  # greedy cuts leave most shards empty
+
+
 def test_empty_repeated_and_extra_columns(spark, docs):
     assert shard(docs([])).count() == 0
     d = docs(["a", "b"]).selectExpr("*", "1 as size", "'q' as shard", "7 as h")

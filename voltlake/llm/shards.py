@@ -6,7 +6,8 @@ possible. The smallest feasible capacity is found by binary search, each capacit
 greedy cuts against running sums that were written once, in order. The check needs only the
 group ends near the cuts: if a bounded number of them is in question the search runs on those,
 else jobs that follow many capacities at once, a step per shard, narrow the question first. At
-that capacity each cut is made as near to its even share as the capacity allows.
+that capacity each cut is made as near to its even share as the capacity allows, to the same
+cuts on either path.
 
 A group may hold any share of the rows: rows are salted by doc_id inside their group, so that
 no task gets more than one cell of a group. Running sums are made in a fixed number of hash
@@ -122,12 +123,38 @@ def even_cuts(near: list[int], capacity: int, total: int, n_shards: int) -> list
     return local_cuts(near, capacity, total, n_shards)
 
 
+def even_cuts_by_jobs(ends: DataFrame, capacity: int, total: int, n_shards: int) -> list[int]:
+    """What even_cuts gives on all the ends, each found by a job over `ends`."""
+    end = F.col("bytes_end")
+
+    def first_from(x: int) -> int:
+        return 0 if x <= 0 else ends.where(end >= x).agg(F.min(end)).first()[0]
+
+    def last_to(x: int) -> int:
+        return total if x >= total else ends.where(end <= x).agg(F.max(end)).first()[0] or 0
+
+    goals = [k * total / n_shards for k in range(1, n_shards)]
+    sides = [f(F.when(c, end)) for g in goals for f, c in ((F.max, end < g), (F.min, end >= g))]
+    found = ends.agg(*(s.alias(str(i)) for i, s in enumerate(sides))).first() if goals else []
+    least = [total] * (n_shards + 1)
+    for k in range(n_shards - 1, 0, -1):
+        least[k] = first_from(least[k + 1] - capacity)
+    at, cuts = 0, []
+    for k, goal in enumerate(goals, 1):
+        best = min((found[2 * k - 2] or 0, found[2 * k - 1]), key=lambda e: abs(e - goal))
+        best = max(best, least[k], at)
+        at = best if best <= at + capacity else last_to(at + capacity)
+        cuts.append(at)
+    return [*cuts, total]
+
+
 def minimax_cuts(ends: DataFrame, n_shards: int, near_rows: int = NEAR_ROWS) -> list[int]:
     """Cut positions of the smallest feasible capacity. ends: bytes_end of every group.
 
     For the capacities in question, lo to hi, the k-th cut lies in a known range. If these
     ranges hold at most `near_rows` ends, the search goes on among those alone; else jobs that
-    follow `PROBES` capacities at once narrow lo and hi first."""
+    follow `PROBES` capacities at once narrow lo and hi first. The first ranges hold every end
+    that evening out can take, later ones don't: then it is done by jobs, with the same cuts."""
     w = ends.agg(F.max("bytes_end").alias("total"), F.max("group_bytes").alias("largest")).first()
     total, largest = w["total"] or 0, w["largest"] or 0
     if not total:
@@ -135,6 +162,7 @@ def minimax_cuts(ends: DataFrame, n_shards: int, near_rows: int = NEAR_ROWS) ->
     even = -(-total // n_shards)
     lo, hi = max(largest, even), even + largest  # hi is always feasible
     ranges = [(k * (lo - largest), k * hi) for k in range(1, n_shards)]
+    narrowed = False
     while True:
         inside = ends.where(reduce(or_, (F.col("bytes_end").between(a, b) for a, b in ranges), F.lit(False)))
         if inside.count() <= near_rows:
@@ -145,16 +173,14 @@ def minimax_cuts(ends: DataFrame, n_shards: int, near_rows: int = NEAR_ROWS) ->
                     hi = middle
                 else:
                     lo = middle + 1
-            return even_cuts(near, lo, total, n_shards)
+            return even_cuts_by_jobs(ends, lo, total, n_shards) if narrowed else even_cuts(near, lo, total, n_shards)
         capacities = sorted({*range(lo, hi, max(1, -(-(hi - lo) // PROBES))), hi})
         cuts = greedy_cuts(ends, capacities, largest, total, n_shards)
         k = next(i for i, c in enumerate(cuts) if c[-1] == total)
-        if k == 0:
-            return cuts[0]
-        lo, hi = capacities[k - 1] + 1, capacities[k]
+        lo, hi = capacities[k - 1] + 1 if k else lo, capacities[k]
         if lo == hi:
-            return cuts[k]
-        ranges = list(zip(cuts[k - 1], cuts[k]))
+            return even_cuts_by_jobs(ends, lo, total, n_shards)
+        ranges, narrowed = list(zip(cuts[k - 1], cuts[k])), True
 
 
 def shard(documents: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
