@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from voltlake.llm.toxicity import GRAMMAR, INSULT, NEGATION, OTHER, REPORT, TARGET, Lexicon, evidence, fit, keep_clean, marked, score
+from voltlake.llm.toxicity import GRAMMAR, INSULT, NEGATION, OTHER, REPORT, TARGET, Lexicon, evidence, fit, keep_clean, marked, near_copies_once, score, training_rows
 
 STEMS = ("idiot", "lowei", "vequ")
 
@@ -64,3 +64,18 @@ def test_edges(spark, docs):
     rows = {r.doc_id: r.score for r in score(d, fit(d, none)).collect()}
     assert len(rows) == 4 and rows[0] == rows[1] == rows[3] < 0.7
     assert score(docs([]), fit(docs([]), none)).count() == 0
+
+
+def test_near_copies_once_and_only_they(spark, docs):
+    r = random.Random(4)
+    plain = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    texts = ["unrelated commonlongword " + " ".join(plain() for _ in range(40)) for _ in range(30)]
+    base = texts[0].split()
+    texts += [" ".join([*base[:-2], plain(), plain()]) for _ in range(6)] + [texts[1], "", "?"]
+    toxic = [i % 2 for i in range(30)] + [0, 0, 0, 1, 1, 1] + [1, 0, 0]
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(texts, toxic))]
+    got = near_copies_once(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == [x for x in rows if x[0] < 30 or x[0] in (33, 37)]
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id bigint, quality int, toxic int")
+    want = {(t, x) for i, t, x in rows if i < 30 and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert want <= {tuple(x) for x in training_rows(docs(texts), labels).collect()}

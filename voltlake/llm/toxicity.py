@@ -10,7 +10,7 @@ score is the logistic of the kinds' learned weights. A word alone has no score:
 in a clause does.
 
 Fitting reads at most `FIT_ROWS` labelled rows of each class, chosen by a hash of their id, as
-a documented bound; scoring reads every whole text. Labels are the only thing taken from the
+a documented bound, near copies of equal label once; scoring reads every whole text. Labels are the only thing taken from the
 label table; no other column than the text enters a score.
 
 Defined results: an empty or null text has the evidence zero, as has one without a match.
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import arrow_limits, shared_dir, table
-from ._text import ALNUM, blocks, byte_class, lower, prefix_sums, span_hashes, words
+from ._spark import arrow_limits, cut, shared_dir, table
+from ._text import ALNUM, U, blocks, byte_class, lower, mix, prefix_sums, span_hashes, words
 
 FIT_ROWS = 4000
 STEM_BYTES = range(3, 13)
@@ -38,6 +38,9 @@ MIN_LOG_ODDS = 4.0
 MAX_STEMS = 5000
 THRESHOLD = 0.7
 SCOPE = 4
+#: Near copies: word sets of this Jaccard or more, met in one of so many bands of min-hashes.
+NEAR = 0.7
+BANDS, BAND = 20, 3
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Function words of the grammar in the corpus's four languages.
@@ -287,6 +290,48 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     return float(b[0]), b[1:]
 
 
+def _near_step(batches):
+    """Adds to each row its set of word hashes, a text without words has 0, and its band keys."""
+    for part, raw, offsets in blocks(batches):
+        n = part.num_rows
+        buf = folded(raw)
+        starts, ends, rows = words(buf, offsets, ALNUM)
+        h = span_hashes(buf, starts, ends) if len(starts) else np.zeros(0, U)
+        bare = np.setdiff1d(np.arange(n), rows)
+        h, rows = np.concatenate([h, np.zeros(len(bare), U)]), np.concatenate([rows, bare]).astype(np.int64)
+        order = np.lexsort((h, rows))
+        h, rows = h[order], rows[order]
+        fresh = np.r_[True, (rows[1:] != rows[:-1]) | (h[1:] != h[:-1])]
+        h, rows = h[fresh], rows[fresh]
+        first = np.searchsorted(rows, np.arange(n + 1))
+        keys = np.zeros((n, BANDS), U)
+        for i in range(BANDS * BAND):
+            x = mix(h ^ U((i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            keys[:, i // BAND] = (keys[:, i // BAND] ^ np.minimum.reduceat(x, first[:-1])) * U(0x9E3779B97F4A7C15)
+        lists = lambda at, v: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v.view(np.int64)))
+        names = ["doc_id", "text", "toxic", "h"]
+        yield pa.RecordBatch.from_arrays(
+            [*(part.column(part.schema.get_field_index(x)) for x in names), lists(first, h), lists(np.arange(n + 1) * BANDS, keys.reshape(-1))], names=[*names, "words", "bands"]
+        )
+
+
+def near_copies_once(rows: DataFrame) -> DataFrame:
+    """doc_id, text and toxic of the rows without a verified near copy of their own label among
+    the rows of smaller doc_id. A band's rows are compared with its first alone, so the pairs
+    grow with the rows and not with their square."""
+    arrow_limits(rows.sparkSession)
+    rows = rows.select("doc_id", "text", "toxic", F.xxhash64("text").alias("h")).dropDuplicates(["doc_id", "h"])
+    rows = cut(rows.mapInArrow(_near_step, "doc_id bigint, text string, toxic int, h bigint, words array<bigint>, bands array<bigint>"), "training")
+    keys = rows.select("toxic", F.struct("doc_id", "h").alias("id"), F.posexplode("bands").alias("band", "key"))
+    first = keys.groupBy("toxic", "band", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keys.join(first, ["toxic", "band", "key"]).where("id > first").select("id", "first").distinct()
+    sets = rows.select(F.struct("doc_id", "h").alias("id"), "words")
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("first"), F.col("words").alias("others")), "first")
+    shared = F.size(F.array_intersect("words", "others"))
+    copies = both.where(shared >= NEAR * (F.size("words") + F.size("others") - shared)).select("id.doc_id", "id.h").distinct()
+    return rows.select("doc_id", "text", "toxic", "h").join(copies, ["doc_id", "h"], "left_anti").select("doc_id", "text", "toxic")
+
+
 def training_rows(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """text and toxic of at most about `fit_rows` labelled documents of each class, near copies once,
     among those whose crc32(doc_id as text) mod 3 is not 1."""
@@ -295,10 +340,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     some = known.where(" or ".join(f"(toxic = {t} and pmod(xxhash64(doc_id), 1000000) < {int(1e6 * min(1, fit_rows / max(1, c)))})" for t, c in n.items() if t in (0, 1)) or "false")
     rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most about 2 * fit_rows ids
-    # Near copies share most of their long words and so, as a rule, the one of least hash: one
-    # of them stays, else what is rare in a much copied text would pass for a sign of its label.
-    rare = F.array_min(F.transform(F.filter(F.split("text", r"[\s,.;:!?|]+"), lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w)))
-    return rows.where("text is not null").groupBy(F.coalesce(rare, F.xxhash64("text"))).agg(F.any_value("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    # Else what is rare in a much copied text would pass for a sign of its label.
+    return near_copies_once(rows.where("text is not null")).select("text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
