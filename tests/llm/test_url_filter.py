@@ -1,6 +1,6 @@
 import duckdb
 
-from voltlake.llm.url_filter import OP10_SQL, RULES, judge, op10_url_filter, rule_table
+from voltlake.llm.url_filter import OP10_SQL, RULES, judge, op10_url_filter, page_edges, rule_table
 
 CANON = '<html><link rel="canonical" href="{}"></html>'
 ROWS = [
@@ -46,3 +46,28 @@ def test_given_edges(spark):
     df = spark.createDataFrame([(1, "a://m/x", ""), (2, "a://p.net/es/", "")], "page_id bigint, url string, html string")
     edges = spark.createDataFrame([("a://m/x", "a://hop/1"), ("a://hop/1", "a://p.net/es/"), (None, "a://m/x")], "source string, target string")
     assert {r.page_id: (r.verdict, r.n_aliases) for r in judge(df, rule_table(spark, RULES), edges).collect()} == {1: ("block", 3), 2: ("block", 3)}
+
+
+def test_links_are_resolved(spark):
+    links = {
+        "/es/1": "http://a.net/es/1",
+        "//b.net/es/": "http://b.net/es/",
+        "e?x=1&amp;y=2": "http://a.net/it/e?x=1&y=2",
+        "../es/./q/..": "http://a.net/es/",
+        "?p=2": "http://a.net/it/d?p=2",
+        "/go?u=http://c.net/": "http://a.net/go?u=http://c.net/",
+        "https://c.net/?a&amp;b": "https://c.net/?a&b",
+        "#top": None,
+        "mailto:a@b.net": None,
+    }
+    refresh = '<meta http-equiv=refresh content="0; url={}">'
+    for form in (CANON, refresh):
+        rows = [(i, "http://a.net/it/d?q=1", form.format(link)) for i, link in enumerate(links)]
+        got = {r.target for r in page_edges(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+        assert got == {t for t in links.values() if t}
+    rows = [
+        (1, "http://x.net/it", CANON.format("/es/1")), (2, "http://y.org/a", refresh.format("//x.net/fr/?a&amp;b")), (3, "http://z.org", CANON.format("b")),
+        (4, "http://z.org/b", '<base href="//x.net/es/">' + CANON.format("c")), (5, "no-scheme", CANON.format("/es/1")),
+    ]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.verdict for r in judge(df, rule_table(spark, RULES)).collect()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}

@@ -11,7 +11,9 @@ small row per rule host, so no url meets a rule of another host.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule and no
 aliases, and is allowed. Repeated pages get the same answer. Without edges every component is
-a single url. Hosts are compared as they stand, ports included. Relative links are left out.
+a single url. Hosts are compared as they stand, ports included. Links are
+resolved against the page's url, or its <base href>, and &amp; in them is &; OP10_SQL, for pages
+without relative links, takes only those with "://", as they stand.
 """
 
 from __future__ import annotations
@@ -49,15 +51,48 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "verdict string, rule string, rule_host string, rule_path string")
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path with its . and .. segments applied."""
+    parts = F.split(F.substring(path, 2, 1 << 30), "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """The link as an absolute url, absolute ones as they stand; null for an empty link, a mere
+    fragment, a scheme without "://" and a relative link of a base without scheme and host."""
+    origin = F.regexp_extract(base, r"(?s)^([^:/?#]+://[^/?#]*)", 1)
+    based, path, tail = origin != "", F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    return (
+        F.when((link == "") | F.startswith(link, F.lit("#")), None)
+        .when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*://")), link)
+        .when(F.rlike(link, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), None)
+        .when(based & F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, r"^([^:/?#]+:)", 1), link))
+        .when(based & F.startswith(link, F.lit("/")), F.concat(origin, _without_dots(path), tail))
+        .when(based & F.startswith(link, F.lit("?")), F.concat(origin, path_of(base), tail))
+        .when(based, F.concat(origin, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)), tail))
+    )
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Edges (source, target) from canonical links, og:url and meta refreshes of the HTML."""
+    """Edges (source, target) from canonical links, og:url and meta refreshes of the HTML,
+    resolved against the page's url or its <base href>."""
     html = F.coalesce("html", F.lit(""))
     tag = lambda pattern: F.regexp_extract(html, pattern, 0)
+    plain = lambda link: F.regexp_replace(link, "(?i)&amp;", "&")
     canonical = F.regexp_extract(tag(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), r"(?is)\bhref" + _QUOTED, 1)
     og = F.regexp_extract(tag(r"""(?is)<meta\b[^>]*\bproperty\s*=\s*["']?og:url\b[^>]*>"""), r"(?is)\bcontent" + _QUOTED, 1)
-    refresh = F.regexp_extract(tag(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1)
-    targets = F.filter(F.array(canonical, og, refresh), lambda t: F.contains(t, F.lit("://")))
-    return pages.where("url is not null").select(F.col("url").alias("source"), F.explode(targets).alias("target"))
+    refresh = F.regexp_extract(tag(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+(?:(?<=&amp);[^"'\s>;]*)*)""", 1)
+    base = F.regexp_extract(tag(r"(?is)<base\b[^>]*>"), r"(?is)\bhref" + _QUOTED, 1)
+    links = pages.where("url is not null").select("url", base.alias("base"), F.explode(F.filter(F.array(canonical, og, refresh), lambda t: t != "")).alias("link"))
+    own = F.coalesce(resolved(plain(F.col("base")), F.col("url")), F.col("url"))
+    return links.select(F.col("url").alias("source"), resolved(plain(F.col("link")), own).alias("target")).where("target is not null")
 
 
 def own_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
