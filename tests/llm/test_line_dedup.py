@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from voltlake.llm.line_dedup import SHINGLE, dedup_lines, forest, rewrite
+from voltlake.llm.line_dedup import SHINGLE, band_keys, dedup_lines, forest, rewrite, shingle_sets, shingles, signatures
 
 
 def grams(t):
@@ -85,12 +85,69 @@ def test_columns_nulls_and_repeats(spark, docs):
 def test_forest_links():
     base = "a quick brown fox jumps over the lazy dog and runs away from it"
     texts = [base, base + "!", "zzz", base[:-1], "another text that has nothing in common with the first of them"]
-    got = forest([t.encode() for t in texts])
+    got = forest(shingle_sets([t.encode() for t in texts]))
     assert {frozenset(p) for p in got} <= {frozenset(p) for p in [(0, 1), (0, 3), (1, 3)]} and len(got) == 2
 
 
 def test_forest_across_labels():
     texts = [b"abcdefghijklmnopqrstuvwxyz" + bytes([48 + i]) for i in range(6)] + [b"something else entirely here"]
     label = np.array([5, 5, 5, 7, 7, 9, 11])
-    got = forest(texts, label)
+    got = forest(shingle_sets(texts), label)
     assert 2 <= len(got) <= 3 and {label[i] for p in got for i in p} == {5, 7, 9}
+
+
+@pytest.mark.parametrize("n", [2, 5, 40])
+def test_forest_against_pairs(n):
+    r = random.Random(n)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(r.choice([4, 60, 700]))) for _ in range(3)]
+    texts = []
+    for _ in range(n):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(1 + len(t) // 60)):
+            t[r.randrange(len(t))] = "x"
+        texts.append("".join(t))
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if alike(texts[i], texts[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    got = list(range(n))
+    for i, j in forest(shingle_sets([t.encode() for t in texts])):
+        assert alike(texts[i], texts[j]) and got[i] != got[j]
+        got = [got[j] if x == got[i] else x for x in got]
+    assert len({*zip(root, got)}) == len({*root}) == len({*got})
+
+
+def test_shingles_of_any_line():
+    texts = ["", "x", "ÄÖÜ", "exactly 9", "ten chars.", "Naïve façade, naïve FAÇADE", "ab" * 70000]
+    counts, hashes = shingles([t.encode() for t in texts])
+    assert counts.tolist() == [max(1, len(t) - SHINGLE + 1) for t in texts]
+    sets = shingle_sets([t.encode() for t in texts])
+    assert [len(x) for x in sets] == [len(grams(t)) for t in texts]
+    assert len(shingle_sets([b"UPPER case line"])[0]) == len(np.intersect1d(*shingle_sets([b"UPPER case line", b"upper CASE line"])))
+
+
+@pytest.mark.parametrize("size", [20, 60, 200, 400])
+def test_recall(size):
+    """Pairs of exact similarity 0.8 to 0.85 that share a band."""
+    r = random.Random(size)
+    pairs = []
+    while len(pairs) < 400:
+        a = [r.choice("abcdefghijklmnop ") for _ in range(size)]
+        b = list(a)
+        for _ in range(1 + r.randrange(max(1, size // 50))):
+            b[r.choice([r.randrange(size), 0, size - 1])] = r.choice("xyz")
+        a, b = "".join(a), "".join(b)
+        if 0.8 <= len(grams(a) & grams(b)) / len(grams(a) | grams(b)) < 0.85:
+            pairs.append((a.encode(), b.encode()))
+    keys = [band_keys(signatures(*shingles([p[k] for p in pairs], 32))) for k in (0, 1)]
+    assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.97
+
+
+def test_long_texts(spark, docs):
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefgh ") for _ in range(1_300_000))
+    many = "\n".join(f"line number {i} {r.random()}" for i in range(30_000))
+    texts = [long, "short\n" + long[:650_000] + "x" + long[650_001:], many, many + "\nand one more", "\n" * 100_000]
+    want = [long, "short", many, "and one more", "\n" * 100_000]
+    assert [r.kept_text for r in sorted(rewrite(docs(texts)).collect(), key=lambda r: r.row.doc_id)] == want

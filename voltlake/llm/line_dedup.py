@@ -7,29 +7,36 @@ by the exact Jaccard similarity of their shingle sets, and connected components
 links of `SIMILARITY` or more. Of a component's lines the one in the document of smallest id
 stays, and there the first; blank lines stay.
 
-Equal lines are one row from the first aggregation on. Buckets are sorted and streamed, in
-chunks of about `CHUNK` lines; what is then still apart in a larger bucket is compared across
-components in tiles of two blocks. A chunk or tile returns a spanning forest of its links, so
-no link between components is lost and no list of all pairs is made. What is decided about lines meets the documents in one stream: by a broadcast table if
-it has at most `SHARED_LINES` rows, else by joins.
+Equal lines are taken once a block, and are one row from the first aggregation on. Buckets are
+sorted and streamed, in chunks of about `CHUNK` lines, a line of many bytes counting as several
+(`LINE_BYTES`); what is then still apart in a larger bucket is compared across components in
+tiles of two blocks. A chunk or tile returns a spanning forest of its links, so no link between
+components is lost and no list of all pairs is made. What is decided about lines meets the
+documents in one stream: by a broadcast table if it has at most `SHARED_LINES` rows, else by
+joins, with the same result.
 
 Defined results: a null text has no lines and stays null; an empty one has a single blank
 line. Rows without doc_id take no part and stay whole. Rows of one doc_id share the fate of
 its lines. A text whose lines all go becomes empty. Lines shorter than a shingle are one
-shingle.
+shingle. A line is never cut, however long: its shingles are hashed window by window.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from ._spark import arrow_limits, cut, table
-from ._text import NOT_SPACE, U, blocks, lower, mix, prefix_sums, ragged, span_hashes
+from ._text import U, blocks, mix
 from .components import connected_components
 
 SHINGLE = 9
@@ -40,51 +47,124 @@ BINS = BANDS * ROWS
 KEY_BITS = 48
 CHUNK = 256
 TILE = 1024
+#: A line counts once more in its chunk for every so many bytes.
+LINE_BYTES = 1 << 14
 SHARED_LINES = 1_000_000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+#: Code points that are hashed at once.
+STRIDE = 1 << 16
+#: Groups of at most so many lines are compared by their shingles, larger ones by bit sets of those that are shared.
+FEW = 6
+SALTS = 16
 BAND_NAMES = [f"b{i}" for i in range(BANDS)]
 
 
-def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of all lines; every row has one at least."""
-    breaks = np.flatnonzero(buf == 0x0A)
-    row = np.searchsorted(offsets, breaks, "right") - 1
-    starts = np.concatenate([offsets[:-1], breaks + 1])
-    ends = np.concatenate([breaks, offsets[1:]])
-    rows = np.concatenate([np.arange(len(offsets) - 1), row])
-    order = np.lexsort((starts, rows))
-    rows_of_ends = np.concatenate([row, np.arange(len(offsets) - 1)])
-    return starts[order], ends[np.lexsort((ends, rows_of_ends))], rows[order]
-
-
-def is_blank(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    upto = np.concatenate([[0], np.cumsum(NOT_SPACE[buf])])
-    return upto[starts] == upto[ends]
-
-
-def shingles(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans' numbers and hashes of all their character shingles."""
-    at = np.flatnonzero((buf & 0xC0) != 0x80)
-    a, b = np.searchsorted(at, starts), np.searchsorted(at, ends)
-    run, k = ragged(np.maximum(1, b - a - SHINGLE + 1))
-    first = a[run] + k
-    edge = np.append(at, len(buf))
-    to = np.where(first + SHINGLE < b[run], edge[np.minimum(first + SHINGLE, len(at))], ends[run])
-    return run, span_hashes(buf, edge[first], to, sums=prefix_sums(buf))
-
-
-def signatures(run: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """One-permutation MinHash: the least hash of each bin, empty bins filled from the right."""
-    empty = U(0xFFFFFFFFFFFFFFFF)
-    out = np.full(n * BINS, empty, U)
-    bins = ((hashes >> U(32)) * U(BINS) >> U(32)).astype(np.int64)
-    np.minimum.at(out, run * BINS + bins, hashes & U(0xFFFFFFFF))
-    out = out.reshape(n, BINS)
-    twice = np.concatenate([out, out], axis=1)
-    place = np.where(twice != empty, np.arange(2 * BINS), 4 * BINS)
-    nearest = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :BINS]
-    away = (nearest - np.arange(BINS)).astype(U)
-    return np.take_along_axis(twice, nearest, axis=1) + away * U(0x9E3779B97F4A7C15)
+def split_lines(data: bytes, a: int, b: int) -> Iterator[bytes]:
+    """The lines of data[a:b], one at a time."""
+    while (c := data.find(b"\n", a, b)) >= 0:
+        yield data[a:c]
+        a = c + 1
+    yield data[a:b]
+
+
+class Lines:
+    """The distinct lines of a block in order of appearance, and the number of the line at
+    each place of each row; every row has one place at least."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+        data, index = raw.tobytes(), {}
+        number, counts = array("i"), []
+        for a, b in pairwise(offsets.tolist()):
+            before = len(number)
+            number.extend(index.setdefault(x, len(index)) for x in split_lines(data, a, b))
+            counts.append(len(number) - before)
+        self.texts: list[bytes] = list(index)
+        self.number = np.frombuffer(number, np.int32) if number else np.zeros(0, np.int32)
+        self.counts = np.array(counts, np.int64)
+        self.rows = np.repeat(np.arange(len(counts)), self.counts)
+        self.blank = np.array([not t or t.isspace() for t in self.texts], bool)
+        keys = np.frombuffer(b"".join(map(xxh3_128_digest, self.texts)), "<i8").reshape(-1, 2)
+        self.k1, self.k2 = np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1])
+
+    def in_rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Line and row of every line that is not blank in every row that has it, by line."""
+        wide = max(1, len(self.counts))
+        line, row = np.divmod(np.unique(self.number.astype(np.int64) * wide + self.rows), wide)
+        use = ~self.blank[line]
+        return line[use], row[use]
+
+
+def _windows(cp: np.ndarray, kind: type, base: int) -> np.ndarray:
+    """A polynomial hash of every `SHINGLE` code points in a row."""
+    whole = cp.astype(kind)
+    whole += kind(1)
+    h, width, power = whole, 1, base
+    with np.errstate(over="ignore"):
+        while 2 * width <= SHINGLE:
+            nxt = h[:-width] * kind(power)
+            nxt += h[width:]
+            h, width, power = nxt, 2 * width, power * power % (1 << 8 * np.dtype(kind).itemsize)
+        for k in range(width, SHINGLE):
+            h = h[:-1] * kind(base)
+            h += whole[k:]
+    return h
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Mixes 32-bit values in place."""
+    with np.errstate(over="ignore"):
+        for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+            h ^= h >> np.uint32(shift)
+            h *= np.uint32(factor)
+        h ^= h >> np.uint32(16)
+    return h
+
+
+def shingles(texts: list[bytes], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles each line has, and the hashes of all of them, line after line; with
+    32 bits they are mixed, for a signature."""
+    kind, base = (np.uint64, 0xD1342543DE82EF95) if bits == 64 else (np.uint32, 0x9E3779B1)
+    buf = b"\n".join(texts).lower()
+    cp = np.frombuffer(buf, np.uint8) if buf.isascii() else np.frombuffer(buf.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    ends = np.append(np.flatnonzero(cp == 10), len(cp))
+    counts = np.maximum(np.diff(ends, prepend=-1) - SHINGLE, 0)
+    n = max(0, len(cp) - SHINGLE + 1)
+    inside = np.ones(n, bool)
+    for k in range(SHINGLE):  # no window crosses a line's end
+        last = ends - k
+        inside[last[(last >= 0) & (last < n)]] = False
+    found = [np.zeros(0, kind)]
+    for a in range(0, n, STRIDE):
+        h = _windows(cp[a : a + STRIDE + SHINGLE - 1], kind, base)
+        h = h[inside[a : a + STRIDE]]
+        found.append(_spread(h) if bits == 32 else h)
+    out = np.concatenate(found)
+    short = np.flatnonzero(counts == 0)
+    if len(short):
+        whole = np.array([xxh3_64_intdigest(texts[i].lower()) for i in short.tolist()], U)
+        out = np.insert(out, (np.cumsum(counts) - counts)[short], whole.astype(kind) if bits == 64 else (whole >> U(32)).astype(kind))
+        counts[short] = 1
+    return counts, out
+
+
+def signatures(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One-permutation MinHash of each line: the least of its 32-bit hashes in each bin, empty
+    bins filled from the right."""
+    empty, n = np.uint32(0xFFFFFFFF), len(counts)
+    least = np.full(n * BINS, empty, np.uint32)
+    place = np.repeat(np.arange(n) * BINS, counts)
+    place += (hashes >> np.uint32(16)) * np.uint32(BINS) >> np.uint32(16)
+    np.minimum.at(least, place, hashes)
+    out = least.reshape(n, BINS).astype(U)
+    holes = np.flatnonzero((least.reshape(n, BINS) == empty).any(axis=1))
+    if len(holes):
+        twice = np.concatenate([out[holes]] * 2, axis=1)
+        at = np.where(twice != U(empty), np.arange(2 * BINS), 4 * BINS)
+        nearest = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+        nearest = np.minimum(nearest, 2 * BINS - 1)  # all bins empty: a hash that is itself the largest
+        away = (nearest - np.arange(BINS)).astype(U)
+        out[holes] = np.take_along_axis(twice, nearest, axis=1) + away * U(0x9E3779B97F4A7C15)
+    return out
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -96,24 +176,6 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return (h & U((1 << KEY_BITS) - 1)) | (np.arange(BANDS, dtype=U) << U(KEY_BITS))
 
 
-class Lines:
-    """The lines of a block, with their keys."""
-
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
-        self.starts, self.ends, self.rows = lines(raw, offsets)
-        self.blank = is_blank(raw, self.starts, self.ends)
-        self.k1 = span_hashes(raw, self.starts, self.ends)
-        self.k2 = span_hashes(raw, self.starts, self.ends, 1)
-
-    def first_in_row(self, label: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """Which lines are the first of their (label, other) in their row."""
-        order = np.lexsort((self.starts, other, label, self.rows))
-        r, a, b = self.rows[order], label[order], other[order]
-        out = np.zeros(len(order), bool)
-        out[order[np.r_[True, (r[1:] != r[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]] = True
-        return out
-
-
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -121,35 +183,44 @@ def _i64(x: np.ndarray) -> pa.Array:
 def _line_step(batches):
     for part, raw, offsets in blocks(batches, limit=BLOCK_BYTES):
         own = Lines(raw, offsets)
-        use = np.flatnonzero(own.first_in_row(own.k1, own.k2) & ~own.blank)
-        if len(use):
-            buf = lower(raw)
-            run, h = shingles(buf, own.starts[use], own.ends[use])
-            keys = band_keys(signatures(run, h, len(use)))
-            ids = part.column(0).take(pa.array(own.rows[use]))
-            yield pa.RecordBatch.from_arrays([ids, _i64(own.k1[use]), _i64(own.k2[use]), *(_i64(np.ascontiguousarray(keys[:, i])) for i in range(BANDS))], names=["doc_id", "k1", "k2", *BAND_NAMES])
+        line, row = own.in_rows()
+        if not len(line):
+            continue
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+        use = line[first]
+        ids = part.column(0).to_numpy()[row]
+        texts = [own.texts[k] for k in use.tolist()]
+        keys = band_keys(signatures(*shingles(texts, 32)))
+        weight = np.array([1 + len(t) // LINE_BYTES for t in texts], np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.minimum.reduceat(ids, first)), pa.array(np.diff(np.append(first, len(line)))), pa.array(own.k1[use]), pa.array(own.k2[use]),
+                pa.array(weight), *(_i64(np.ascontiguousarray(keys[:, i])) for i in range(BANDS)),
+            ],
+            names=["first_doc", "n_docs", "k1", "k2", "weight", *BAND_NAMES],
+        )
 
 
 def _key_step(batches):
     for part, raw, offsets in blocks(batches):
         own = Lines(raw, offsets)
-        use = np.flatnonzero(own.first_in_row(own.k1, own.k2) & ~own.blank)
-        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own.rows[use])), _i64(own.k1[use]), _i64(own.k2[use])], names=["doc_id", "k1", "k2"])
+        line, row = own.in_rows()
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(own.k1[line]), pa.array(own.k2[line])], names=["doc_id", "k1", "k2"])
 
 
 def line_table(documents: DataFrame) -> DataFrame:
-    """k1, k2, first_doc, n_docs and the bands of every distinct line."""
+    """k1, k2, first_doc, n_docs, weight and the bands of every distinct line."""
     fields = ", ".join(f"{b} bigint" for b in BAND_NAMES)
-    rows = documents.mapInArrow(_line_step, f"doc_id bigint, k1 bigint, k2 bigint, {fields}")
-    return rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"), *(F.first(b).alias(b) for b in BAND_NAMES))
+    rows = documents.select("doc_id", "text").mapInArrow(_line_step, f"first_doc bigint, n_docs bigint, k1 bigint, k2 bigint, weight int, {fields}")
+    return rows.groupBy("k1", "k2").agg(F.min("first_doc").alias("first_doc"), F.sum("n_docs").alias("n_docs"), *(F.first(b).alias(b) for b in ["weight", *BAND_NAMES]))
 
 
 def _shared_step(batches):
-    """Of rows (key, k1, k2) sorted by key those whose key is not theirs alone."""
-    names = ["key", "k1", "k2"]
+    """Of rows sorted by their first column those whose key is not theirs alone."""
     held = None
     for b in batches:
-        cols = [np.asarray(b.column(i)) for i in range(3)]
+        names = b.schema.names
+        cols = [np.asarray(b.column(i)) for i in range(b.num_columns)]
         if held is not None:
             cols = [np.concatenate([x, y]) for x, y in zip(held[1], cols)]
         key = cols[0]
@@ -168,10 +239,10 @@ def _shared_step(batches):
 
 
 def shared_buckets(line_rows: DataFrame) -> DataFrame:
-    """key, k1, k2, n: the buckets of two lines or more; of equal buckets one."""
-    spread = line_rows.select(F.explode(F.array(*BAND_NAMES)).alias("key"), "k1", "k2")
-    shared = cut(spread.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_step, "key bigint, k1 bigint, k2 bigint"), "shared")
-    sizes = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k1", "k2")).alias("x"), F.bit_xor(F.xxhash64("k2", "k1")).alias("y"))
+    """key, k1, k2, n: the buckets of two lines or more, n their weight; of equal buckets one."""
+    spread = line_rows.select(F.explode(F.array(*BAND_NAMES)).alias("key"), "k1", "k2", "weight")
+    shared = cut(spread.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_step, "key bigint, k1 bigint, k2 bigint, weight int"), "shared")
+    sizes = shared.groupBy("key").agg(F.sum("weight").alias("n"), F.bit_xor(F.xxhash64("k1", "k2")).alias("x"), F.bit_xor(F.xxhash64("k2", "k1")).alias("y"))
     some = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
     return shared.join(some, "key").select("key", "k1", "k2", "n")
 
@@ -180,8 +251,8 @@ class Decisions:
     """Rows (k1, k2, ...) sorted for look-up."""
 
     def __init__(self, k1: np.ndarray, k2: np.ndarray, *values: np.ndarray) -> None:
-        order = np.argsort(k1.view(U))
-        self.k1, self.k2 = k1.view(U)[order], k2.view(U)[order]
+        order = np.argsort(k1)
+        self.k1, self.k2 = k1[order], k2[order]
         self.values = [v[order] for v in values]
 
     def find(self, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
@@ -197,23 +268,14 @@ def _gather(df: DataFrame, *columns: str) -> Decisions:
     return Decisions(*(t[c].to_numpy() for c in columns))
 
 
-def _given(part: pa.RecordBatch, name: str) -> tuple[np.ndarray, Decisions]:
-    """A joined list column as (row, decisions); rows without one have none."""
-    lists = part.column(part.schema.get_field_index(name))
-    sizes = np.array([0 if x is None else x for x in pc.list_value_length(lists).to_pylist()], np.int64)
-    flat = lists.flatten()
-    cols = [np.asarray(flat.field(i)) for i in range(flat.type.num_fields)]
-    row = np.repeat(np.arange(part.num_rows), sizes)
-    # The row takes part in the key, so that each row finds its own.
-    return row, Decisions(*(mix(c.view(U) + mix(row.astype(U))).view(np.int64) if i < 2 else c for i, c in enumerate(cols)))
-
-
 def _find(own: Lines, part, shared) -> tuple[np.ndarray, Decisions]:
+    """Each line's place among the decisions: those of all, or those joined to the rows."""
     if shared is not None:
-        return shared.value.find(own.k1, own.k2), shared.value
-    _, table_ = _given(part, "told")
-    salt = mix(own.rows.astype(U))
-    return table_.find(mix(own.k1 + salt), mix(own.k2 + salt)), table_
+        found = shared.value
+    else:
+        flat = part.column(part.schema.get_field_index("told")).flatten()
+        found = Decisions(*(np.asarray(flat.field(i)) for i in range(flat.type.num_fields)))
+    return np.where(own.blank, -1, found.find(own.k1, own.k2)), found
 
 
 def _text_step(shared):
@@ -223,104 +285,152 @@ def _text_step(shared):
         for part, raw, offsets in blocks(batches):
             own = Lines(raw, offsets)
             at, found = _find(own, part, shared)
-            ids = part.column(0).to_numpy(zero_copy_only=False)
-            use = np.flatnonzero((at >= 0) & ~own.blank & own.first_in_row(own.k1, own.k2))
-            use = use[found.values[0][at[use]] == ids[own.rows[use]]]
-            data = raw.tobytes()
-            text = [data[a:b].decode("utf-8", "replace") for a, b in zip(own.starts[use], own.ends[use])]
-            yield pa.RecordBatch.from_arrays([_i64(own.k1[use]), _i64(own.k2[use]), pa.array(text, pa.string())], names=["k1", "k2", "line"])
+            line, row = own.in_rows()
+            ids = part.column(0).to_numpy()
+            some = np.flatnonzero(at[line] >= 0)
+            some = some[found.values[0][at[line[some]]] == ids[row[some]]]
+            use = line[some]
+            yield pa.RecordBatch.from_arrays([pa.array(own.k1[use]), pa.array(own.k2[use]), pa.array([own.texts[k].decode("utf-8", "replace") for k in use.tolist()], pa.string())], names=["k1", "k2", "line"])
 
     return run
 
 
+def line_texts(documents: DataFrame, wanted: DataFrame, shared_lines: int) -> DataFrame:
+    """k1, k2, line of the wanted lines (k1, k2, first_doc)."""
+    out = "k1 bigint, k2 bigint, line string"
+    if wanted.count() <= shared_lines:
+        shared = documents.sparkSession.sparkContext.broadcast(_gather(wanted, "k1", "k2", "first_doc"))
+        return documents.mapInArrow(_text_step(shared), out)
+    told = wanted.groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct("k1", "k2", "first_doc")).alias("told"))  # of one document
+    return documents.join(told, "doc_id").mapInArrow(_text_step(None), out)
+
+
 def _told(documents: DataFrame, decisions: DataFrame, columns: list[str]) -> DataFrame:
     """Documents with the decisions about their lines, by joins: for tables of any size."""
-    occurs = documents.select("doc_id", "text").mapInArrow(_key_step, "doc_id bigint, k1 bigint, k2 bigint").distinct()
+    occurs = documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(_key_step, "doc_id bigint, k1 bigint, k2 bigint").distinct()
     told = occurs.join(decisions, ["k1", "k2"]).groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("told"))  # of one document
     return documents.join(told, "doc_id", "left")
 
 
-def line_texts(documents: DataFrame, wanted: DataFrame, shared_lines: int) -> DataFrame:
-    """k1, k2, line of the wanted lines (k1, k2, first_doc)."""
-    if wanted.count() <= shared_lines:
-        shared = documents.sparkSession.sparkContext.broadcast(_gather(wanted, "k1", "k2", "first_doc"))
-        return documents.mapInArrow(_text_step(shared), "k1 bigint, k2 bigint, line string")
-    return _told(documents, wanted, ["k1", "k2", "first_doc"]).mapInArrow(_text_step(None), "k1 bigint, k2 bigint, line string")
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The shingles of each line, sorted, each once."""
+    counts, hashes = shingles(texts)
+    out = []
+    for a, b in pairwise([0, *np.cumsum(counts).tolist()]):
+        x = np.sort(hashes[a:b])
+        out.append(x[np.append(True, x[1:] != x[:-1])])
+    return out
 
 
-def _shared_counts(run: np.ndarray, values: np.ndarray, n: int, some: np.ndarray) -> np.ndarray:
-    """Shingles that each of `some` has in common with each of n lines, by matrix products over
-    slices of the shingles that two lines or more have."""
-    _, number, times = np.unique(values, return_inverse=True, return_counts=True)
+def _near(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    same = np.count_nonzero(both[1:] == both[:-1])
+    return same >= similarity * (len(both) - same) - 1e-6
+
+
+def _shared_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """For each line, as bits, which it has of the shingles that two lines or more have."""
+    n = len(sets)
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     often = times[number] > 1
-    run, number = run[often], (np.cumsum(times > 1) - 1)[number[often]]
+    run, number = np.repeat(np.arange(n), [len(x) for x in sets])[often], (np.cumsum(times > 1) - 1)[number[often]]
     order = np.argsort(number, kind="stable")
     run, number = run[order], number[order]
-    out = np.zeros((len(some), n), np.float32)
-    for first in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
-        a, b = np.searchsorted(number, [first, first + 4096])
-        has = np.zeros((n, 4096), np.float32)
+    total = int(number[-1]) + 1 if len(number) else 0
+    out = []
+    for first in range(0, total, 4096):
+        wide = min(4096, -(-(total - first) // 64) * 64)
+        a, b = np.searchsorted(number, [first, first + wide])
+        has = np.zeros((n, wide), np.uint8)
         has[run[a:b], number[a:b] - first] = 1
-        out += has[some] @ has.T
+        out.append(np.packbits(has, axis=1).view(U))
+    return np.concatenate(out, axis=1) if out else np.zeros((n, 0), U)
+
+
+def forest(sets: list[np.ndarray], label: np.ndarray | None = None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """A spanning forest, as index pairs, of the links among lines, given by their shingles.
+    Lines of one label are known to be connected: they are not compared with one another."""
+    n = len(sets)
+    if n <= FEW:
+        root, out = list(range(n)) if label is None else [int(np.argmax(label == x)) for x in label], []
+        for j in range(1, n):
+            for i in range(j):
+                if root[i] != root[j] and _near(sets[i], sets[j], similarity):
+                    out.append((i, j))
+                    root = [root[i] if x == root[j] else x for x in root]
+        return out
+    size, bits = np.array([len(x) for x in sets], np.float64), _shared_bits(sets)
+    todo, out = np.arange(n), []
+    while len(todo) > 1:
+        front, todo = [int(todo[0])], todo[1:]
+        while front and len(todo):
+            i = front.pop()
+            if label is not None:
+                mate = label[todo] == label[i]
+                front += todo[mate].tolist()
+                todo = todo[~mate]
+            both = np.bitwise_count(bits[todo] & bits[i]).sum(axis=1, dtype=np.int64)
+            linked = both >= similarity * (size[todo] + size[i] - both) - 1e-6
+            found = todo[linked].tolist()
+            front += found
+            out += [(i, j) for j in found]
+            todo = todo[~linked]
     return out
 
 
-def forest(texts: list[bytes], label: np.ndarray | None = None, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """A spanning forest, as index pairs, of the links among lines. Lines of one label are
-    known to be connected: they are not compared with one another."""
-    n = len(texts)
-    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
-    ends = np.cumsum([len(t) for t in texts])
-    starts = ends - np.array([len(t) for t in texts])
-    run, h = shingles(lower(np.frombuffer(b"".join(texts), np.uint8)), starts, ends)
-    order = np.lexsort((h, run))
-    run, h = run[order], h[order]
-    fresh = np.r_[True, (run[1:] != run[:-1]) | (h[1:] != h[:-1])]
-    run, h = run[fresh], h[fresh]
-    size = np.bincount(run, minlength=n).astype(np.float64)
-    few = np.flatnonzero(label != np.argmax(np.bincount(label)))
-    both = _shared_counts(run, h, n, few)
-    near = np.zeros((n, n), bool)
-    near[few] = both >= similarity * (size[few][:, None] + size[None, :] - both) - 1e-6
-    near[:, few] |= near[few].T
-    todo, out = np.ones(n, bool), []
-    for seed in range(n):
-        front = [seed] if todo[seed] else []
-        todo[seed] = False
-        while front:
-            i = front.pop()
-            mates = np.flatnonzero(todo & (label == label[i]))
-            todo[mates] = False
-            linked = np.flatnonzero(near[i] & todo)
-            todo[linked] = False
-            out += [(i, int(j)) for j in linked]
-            front += mates.tolist() + linked.tolist()
-    return out
+def _links_of(rows: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links of the groups that begin at the given rows, about a block of text at a time."""
+    ids = np.column_stack([rows["k1"].to_numpy(), rows["k2"].to_numpy()])
+    label = None if rows["label"].null_count else rows["label"].to_numpy()
+    texts = rows["line"].cast(pa.binary()).to_pylist()
+    upto = np.cumsum([0, *map(len, texts)])
+    edges, a = np.append(begin, len(texts)), 0
+    while a < len(begin):
+        z = max(a + 1, int(np.searchsorted(upto[edges], upto[edges[a]] + BLOCK_BYTES, "right")) - 1)
+        lo, hi = int(edges[a]), int(edges[z])
+        distinct: dict[tuple[int, int], int] = {}
+        number = [distinct.setdefault(k, len(distinct)) for k in map(tuple, ids[lo:hi].tolist())]
+        where = np.zeros(len(distinct), np.int64)
+        where[number] = np.arange(lo, hi)
+        sets = shingle_sets([texts[i] for i in where.tolist()])
+        pairs = []
+        for s, e in pairwise((edges[a : z + 1] - lo).tolist()):
+            mine = list(dict.fromkeys(number[s:e]))
+            if len(mine) > 1:
+                told = None if label is None else label[where[mine]]
+                pairs += [(mine[i], mine[j]) for i, j in forest([sets[k] for k in mine], told)]
+        if pairs:
+            ends = ids[where[np.array(pairs)]]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, i, k]) for i in (0, 1) for k in (0, 1)], names=["a1", "a2", "b1", "b2"])
+        a = z
 
 
 def _link_step(n_keys: int):
     """Rows (keys..., k1, k2, label, line) sorted by keys: a forest of each group."""
 
-    def links(rows):
-        seen = {(r[-4], r[-3]): r for r in rows}
-        ids = list(seen)
-        if len(ids) < 2:
-            return
-        label = None if rows[0][-2] is None else np.array([r[-2] for r in seen.values()])
-        pairs = forest([r[-1].encode() for r in seen.values()], label)
-        if pairs:
-            columns = [[ids[p[side]][k] for p in pairs] for side in (0, 1) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a1", "a2", "b1", "b2"])
-
     def run(batches):
-        key, held = None, []
+        held: list[pa.RecordBatch] = []  # rows of one group, the last
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-                if row[:n_keys] != key:
-                    yield from links(held)
-                    key, held = row[:n_keys], []
-                held.append(row)
-        yield from links(held)
+            if not b.num_rows:
+                continue
+            keys = [np.asarray(b.column(i)) for i in range(n_keys)]
+            fresh = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            if held and any(held[-1].column(i)[-1].as_py() != k[0] for i, k in enumerate(keys)):
+                yield from _links_of(pa.Table.from_batches(held).combine_chunks(), np.array([0]))
+                held = []
+            if not len(fresh):
+                held.append(b)
+                continue
+            last = int(fresh[-1])
+            rows = pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks()
+            more = rows.num_rows - last
+            yield from _links_of(rows, np.append(0, fresh[:-1] + more))
+            held = [b.slice(last)]
+        if held:
+            yield from _links_of(pa.Table.from_batches(held).combine_chunks(), np.array([0]))
 
     return run
 
@@ -369,8 +479,11 @@ def decide(documents: DataFrame, chunk: int = CHUNK, tile: int = TILE, shared_li
     component = line_components(buckets, texts, chunk, tile)
     many = found.select("k1", "k2", "first_doc", "n_docs").join(component, F.xxhash64("k1", "k2") == F.col("node"), "left").where("node is not null or n_docs > 1")
     many = cut(many.select("k1", "k2", "first_doc", "component"), "many")
-    owners = many.where("component is not null").groupBy("component").agg(F.min("first_doc").alias("owner"))
-    return many.join(owners, "component", "left").select("k1", "k2", F.coalesce("owner", "first_doc").alias("owner"), F.coalesce("component", "k1").alias("component"))
+    alone = many.where("component is null").select("k1", "k2", F.col("first_doc").alias("owner"), F.col("k1").alias("component"))
+    linked = many.where("component is not null").withColumn("salt", F.pmod("k1", F.lit(SALTS)))
+    owners = linked.groupBy("component", "salt").agg(F.min("first_doc").alias("owner")).groupBy("component").agg(F.min("owner").alias("owner"))
+    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))  # a component may hold a third of the lines
+    return alone.unionByName(linked.join(owners, ["component", "salt"]).select("k1", "k2", "owner", "component"))
 
 
 def _rewrite_step(shared):
@@ -378,40 +491,42 @@ def _rewrite_step(shared):
         for part, raw, offsets in blocks(batches):
             own = Lines(raw, offsets)
             at, found = _find(own, part, shared)
-            known = at >= 0
-            owner, label = np.zeros(len(at), np.int64), own.k1.copy()
-            other = own.k2.copy()
-            if known.any():
-                owner[known] = found.values[0][at[known]]
-                label[known] = found.values[1][at[known]].view(U)
-                other[known] = 0
+            known, n = at >= 0, part.num_rows
+            owner, label = np.zeros(len(at), np.int64), np.arange(len(at))
+            owner[known] = found.values[0][at[known]]
+            label[known] = len(at) + np.unique(found.values[1][at[known]], return_inverse=True)[1]
             ids = part.column(0)
             none = np.asarray(ids.is_null())
-            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            keep = own.first_in_row(label, other) & ~(known & (owner != ids[own.rows]))
-            keep |= own.blank | none[own.rows]
-            n_lines = np.bincount(own.rows, minlength=part.num_rows)
-            n_kept = np.bincount(own.rows, weights=keep, minlength=part.num_rows).astype(np.int64)
-            texts = part.column(part.schema.get_field_index("text")).to_pylist()
-            null = np.array([t is None for t in texts])
-            first = np.cumsum(n_lines) - n_lines
-            data = raw.tobytes()
-            for i in np.flatnonzero((n_kept < n_lines) & ~null):
-                mine = first[i] + np.flatnonzero(keep[first[i] : first[i] + n_lines[i]])
-                texts[i] = b"\n".join(data[own.starts[k] : own.ends[k]] for k in mine).decode("utf-8", "replace")
+            ids = ids.fill_null(0).to_numpy()
+            places = own.rows * (2 * len(at)) + label[own.number]
+            keep = np.zeros(len(places), bool)
+            keep[np.unique(places, return_index=True)[1]] = True
+            keep &= ~(known[own.number] & (owner[own.number] != ids[own.rows]))
+            keep |= own.blank[own.number] | none[own.rows]
+            n_lines, n_kept = own.counts.copy(), np.bincount(own.rows, weights=keep, minlength=n).astype(np.int64)
+            texts = part.column(part.schema.get_field_index("text"))
+            null = np.asarray(texts.is_null())
             n_lines[null] = n_kept[null] = 0
-            yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index("row")), pa.array(n_lines, pa.int64()), pa.array(n_kept, pa.int64()), pa.array(texts, pa.string())], names=["row", "n_lines", "n_kept", "kept_text"]
-            )
+            changed = np.flatnonzero(n_kept < n_lines)
+            first = np.cumsum(own.counts) - own.counts
+            new = []
+            for i in changed.tolist():
+                mine = slice(first[i], first[i] + own.counts[i])
+                new.append(b"\n".join([own.texts[k] for k in own.number[mine][keep[mine]].tolist()]).decode("utf-8", "replace"))
+            if new:
+                mask = np.zeros(n, bool)
+                mask[changed] = True
+                texts = pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("row")), pa.array(n_lines), pa.array(n_kept), texts.cast(pa.string())], names=["row", "n_lines", "n_kept", "kept_text"])
 
     return run
 
 
 def rewrite(documents: DataFrame, chunk: int = CHUNK, tile: int = TILE, shared_lines: int = SHARED_LINES) -> DataFrame:
-    """row (the document's columns), n_lines, n_kept and kept_text of every document."""
+    """row (the document's columns but its text), n_lines, n_kept and kept_text of every document."""
     arrow_limits(documents.sparkSession)
     decisions = cut(decide(documents.select("doc_id", "text").where("doc_id is not null"), chunk, tile, shared_lines), "decided")
-    rows = documents.select("doc_id", "text", F.struct(*documents.columns).alias("row"))
+    rows = documents.select("doc_id", "text", F.struct(*(F.col(c) for c in documents.columns if c != "text")).alias("row"))
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string("n_lines bigint, n_kept bigint, kept_text string").fields])
     if decisions.count() <= shared_lines:
         shared = documents.sparkSession.sparkContext.broadcast(_gather(decisions, "k1", "k2", "owner", "component"))
@@ -421,10 +536,10 @@ def rewrite(documents: DataFrame, chunk: int = CHUNK, tile: int = TILE, shared_l
 
 def dedup_lines(documents: DataFrame, chunk: int = CHUNK, tile: int = TILE, shared_lines: int = SHARED_LINES) -> DataFrame:
     """`documents` with the lines that stay; n_chars, if it is there, follows."""
-    row = F.col("row").withField("text", F.col("kept_text"))
+    new = {"text": F.col("kept_text")}
     if "n_chars" in documents.columns:
-        row = row.withField("n_chars", F.length("kept_text").cast(documents.schema["n_chars"].dataType))
-    return rewrite(documents, chunk, tile, shared_lines).select(row.alias("row")).select("row.*")
+        new["n_chars"] = F.length("kept_text").cast(documents.schema["n_chars"].dataType)
+    return rewrite(documents, chunk, tile, shared_lines).select(*(new.get(c, F.col("row")[c]).alias(c) for c in documents.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
