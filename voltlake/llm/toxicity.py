@@ -1,25 +1,34 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
 A lexical transducer writes each word as a symbol: insult, threat, target, negation, reported
-speech or other. Insults and threats are stems, learned from labelled rows: the shortest
-beginnings of words that are far likelier in toxic texts. Further transducers rewrite the
-symbols of a clause: negation marks what follows within a few words, reported speech the rest
-of its clause, a target whatever is aimed at it. Their composition is built once. A document's
-evidence is the weight of the marked insults and threats of its clauses, by kind of mark; its
-score is the logistic of the kinds' learned weights. A word alone has no score: only its place
-in a clause does.
+speech or other. Stems of insults and threats are learned from labelled rows: the shortest
+beginnings of words that are far likelier in toxic texts; those that mostly have a target
+right after them are threats, as are a few fixed verbs. Further transducers rewrite the symbols
+of a clause from left to right: negation marks what follows within a few words, reported speech
+the rest of its clause, a target the insults after it. Their composition is built once. A last
+transducer reads its output from right to left, so that a target also marks what stands before
+it: any insult, and threats within a few words. A threat without a target is no match.
+
+A document's evidence is the weight of the matched insults and threats of its clauses, by kind
+of mark; its score is the logistic of the kinds' learned weights. Before anything is learned an
+insult that is aimed at nobody weighs nothing; labels may give it a weight.
 
 Fitting reads at most `FIT_ROWS` labelled rows of each class, chosen by a hash of their id, as
-a documented bound, near copies of equal label once; scoring reads every whole text. Labels are the only thing taken from the
-label table; no other column than the text enters a score.
-
-Defined results: an empty or null text has the evidence zero, as has one without a match.
-Without labels of both classes the lexicon is empty and the score is the prior. A document
-labelled twice counts as toxic if any label says so; null labels and ids are left out.
+a documented bound, near copies of equal label once; scoring reads every whole text. How common
+and how telling a stem must be is chosen among `SETTINGS` by the log loss over `FOLDS` folds of
+those training rows alone. Labels are the only thing taken from the label table; no other column
+than the text enters a score.
+
+Defined results: an empty or null text has the evidence zero, as has one without a match; a
+very long one is read whole. Without labels of both classes the lexicon is empty and the score
+is the prior. A document labelled twice counts as toxic if any label says so; null labels and
+ids are left out of fitting, rows without an id are scored. Repeated rows score alike. A column
+`score` of the input is replaced; others pass through.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +42,13 @@ from ._text import ALNUM, U, blocks, byte_class, lower, mix, prefix_sums, span_h
 
 FIT_ROWS = 4000
 STEM_BYTES = range(3, 13)
-MIN_TOXIC = 8
-MIN_LOG_ODDS = 4.0
+#: Candidates for the least number of toxic rows and the least log-odds of a stem.
+SETTINGS = ((8, 4.0), (4, 4.0), (8, 2.5), (4, 2.5))
+FOLDS = 3
+#: Words after a threat within which its target stands.
+NEXT = 3
+#: A stem of which so many toxic rows have a target next to it is a threat.
+AIMED = 0.5
 MAX_STEMS = 5000
 THRESHOLD = 0.7
 SCOPE = 4
@@ -48,6 +62,7 @@ WORDS = {
     TARGET: "you your yours they them he she him her du dich dir ihr euch tu te toi vous ils elle tú ti usted vosotros ellos",
     NEGATION: "not no never isn't aren't wasn't nicht kein keine nie pas jamais ne aucun nunca jamás ningún",
     REPORT: "said says wrote quoted claimed reported sagte schrieb berichtete dit disait écrit dijo escribió afirmó",
+    #: Stems.
     THREAT: "kill hurt destroy beat burn attack töten schlagen tuer frapper matar golpear",
 }
 CLAUSE_END = byte_class(lambda b: b in b".!?;\n\r")
@@ -114,17 +129,33 @@ def report_transducer() -> Transducer:
 
 
 def target_transducer() -> Transducer:
-    t = Transducer(0, {(0, TARGET): (1, OTHER), (1, TARGET): (1, OTHER)})
-    for m in range(8, 8 + KINDS):
+    """Marks the insults after a target; targets stay, for the way back."""
+    t = Transducer(0, {(0, TARGET): (1, TARGET), (1, TARGET): (1, TARGET)})
+    for m in range(8, 8 + KINDS // 2):
         if not m & 4:
             t.arcs[1, m] = (1, m | 4)
     return t
 
 
+def returning_transducer() -> Transducer:
+    """Reads a clause's marked symbols from its end. State: (whether a target was met, words for
+    which it is near). Insults before a target are marked; threats near it are, others go."""
+    t = Transducer((0, 0))
+    for met, near in ((0, 0), *((1, k) for k in range(NEXT + 1))):
+        after = (met, max(0, near - 1))
+        t.arcs[(met, near), OTHER] = (after, OTHER)
+        t.arcs[(met, near), TARGET] = ((1, NEXT), OTHER)
+        for m in range(8, 8 + KINDS):
+            threat = m - 8 >= KINDS // 2
+            t.arcs[(met, near), m] = (after, (m | 4 if near else OTHER) if threat else m | 4 if met else m)
+    return t
+
+
 ALPHABET = {OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT}
 GRAMMAR = compose(compose(negation_transducer(), report_transducer(), ALPHABET), target_transducer(), ALPHABET)
+RETURNING = returning_transducer()
 #: How much of its stem's weight a kind carries before anything is learned.
-PRIOR = np.array([(1 + 0.5 * (k >> 3 & 1)) * (0.3 if k & 1 else 1) * (0.5 if k & 2 else 1) * (1.2 if k & 4 else 1) for k in range(KINDS)])
+PRIOR = np.array([(1 + 0.5 * (k >> 3 & 1)) * (0.3 if k & 1 else 1) * (0.5 if k & 2 else 1) * (1.2 if k & 4 else 0) for k in range(KINDS)])
 PRIOR_BIAS = -3.0
 
 
@@ -138,15 +169,16 @@ def folded(raw: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """Symbols and weights of words: by stem, of some bytes, or by whole word."""
+    """Symbols and weights of words: by stem, of some bytes, or by whole word. `stems` gives
+    each stem's weight and whether it is a threat's."""
 
-    def __init__(self, stems: dict[str, float]) -> None:
+    def __init__(self, stems: dict[str, tuple[float, bool]]) -> None:
         entries: dict[tuple[int, bool], list[tuple[int, int, float]]] = {}
         for symbol, text in WORDS.items():
             for w in text.split():
-                self._put(entries, w, True, symbol, 3.0 if symbol == THREAT else 0.0)
-        for stem, weight in stems.items():
-            self._put(entries, stem.removesuffix("$"), stem.endswith("$"), INSULT, weight)
+                self._put(entries, w, symbol != THREAT, symbol, 3.0 if symbol == THREAT else 0.0)
+        for stem, (weight, threat) in stems.items():
+            self._put(entries, stem.removesuffix("$"), stem.endswith("$"), THREAT if threat else INSULT, weight)
         self.tables = []
         for (size, whole), rows in sorted(entries.items()):
             rows = sorted({r[0]: r for r in rows}.values())
@@ -174,39 +206,66 @@ class Lexicon:
         return symbol, weight
 
 
-def evidence(lexicon: Lexicon, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each row the summed weight of each kind of marked insult or threat."""
-    out = np.zeros((len(offsets) - 1, KINDS))
-    buf = folded(raw)
-    starts, ends, rows = words(buf, offsets, ALNUM)
-    if not len(starts):
+def matches(symbols: list[int], gaps: list[int]) -> list[int]:
+    """A clause's marked symbols, in order; gaps: the plain words before each symbol. The
+    grammar reads it from left to right, the returning transducer what comes out, backwards."""
+    state, out = GRAMMAR.start, []
+    for symbol, gap in zip(symbols, gaps):
+        for _ in range(min(gap, SCOPE)):
+            state, _ = GRAMMAR.step(state, OTHER)
+        state, o = GRAMMAR.step(state, symbol)
+        out.append(o)
+    state, back, gap = RETURNING.start, [], 0
+    for o, before in zip(out[::-1], gaps[::-1]):
+        for _ in range(min(gap, NEXT)):
+            state, _ = RETURNING.step(state, OTHER)
+        state, o = RETURNING.step(state, o)
+        back.append(o)
+        gap = before
+    return back[::-1]
+
+
+class Clauses:
+    """The words of a block, the clause of each, and the prefix sums that hash them."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+        self.buf, self.n = folded(raw), len(offsets) - 1
+        self.starts, self.ends, self.rows = words(self.buf, offsets, ALNUM)
+        if len(self.starts):
+            self.sums = prefix_sums(self.buf)
+            self.clause = np.cumsum(CLAUSE_END[self.buf])[self.starts] + self.rows
+
+    def evidence(self, lexicon: Lexicon) -> np.ndarray:
+        """For each row the summed weight of each kind of marked insult or threat."""
+        out = np.zeros((self.n, KINDS))
+        if not len(self.starts):
+            return out
+        symbol, weight = lexicon.read(self.buf, self.starts, self.ends, self.sums)
+        core = np.unique(self.clause[(symbol == INSULT) | (symbol == THREAT)])
+        told = np.flatnonzero(symbol)
+        told = told[np.isin(self.clause[told], core, kind="sort")]
+        if not len(told):
+            return out
+        clause, marks = self.clause[told], []
+        edges = [0, *(np.flatnonzero(clause[1:] != clause[:-1]) + 1).tolist(), len(told)]
+        gaps = np.diff(told, prepend=told[0]) - 1
+        gaps[edges[:-1]] = 0
+        symbols, gaps = symbol[told].tolist(), gaps.tolist()
+        for a, b in zip(edges, edges[1:]):
+            marks += matches(symbols[a:b], gaps[a:b])
+        marks = np.array(marks)
+        hit = marks >= 8
+        np.add.at(out, (self.rows[told[hit]], marks[hit] - 8), weight[told[hit]])
         return out
-    symbol, weight = lexicon.read(buf, starts, ends, prefix_sums(buf))
-    clause = np.cumsum(CLAUSE_END[buf])[starts] + rows
-    core = np.unique(clause[(symbol == INSULT) | (symbol == THREAT)])
-    if not len(core):
-        return out
-    told = np.flatnonzero(symbol)
-    told = told[np.isin(clause[told], core, kind="sort")]
-    # A target counts wherever it stands in its clause, after the insult too.
-    step, start = GRAMMAR.step, GRAMMAR.start
-    aimed = set(clause[told[symbol[told] == TARGET]].tolist())
-    last_clause, state, at = -1, start, 0
-    for i, c, s, w, r in zip(told.tolist(), clause[told].tolist(), symbol[told].tolist(), weight[told].tolist(), rows[told].tolist()):
-        if c != last_clause:
-            last_clause, state, at = c, start, i
-        for _ in range(min(i - at - 1, SCOPE)):
-            state, _ = step(state, OTHER)
-        state, o = step(state, s)
-        at = i
-        if o >= 8:
-            out[r, o - 8 | (4 if c in aimed else 0)] += w
-    return out
+
+
+def evidence(lexicon: Lexicon, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return Clauses(raw, offsets).evidence(lexicon)
 
 
 @dataclass
 class Model:
-    stems: dict[str, float]
+    stems: dict[str, tuple[float, bool]]
     bias: float = PRIOR_BIAS
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
@@ -215,16 +274,36 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+_TARGETS = Lexicon({})
+
+
+def _near_targets(own: Clauses) -> np.ndarray:
+    """Which words have a target within the next `NEXT` words of their clause."""
+    target = _TARGETS.read(own.buf, own.starts, own.ends, own.sums)[0] == TARGET
+    out = np.zeros(len(target), bool)
+    for k in range(1, NEXT + 1):
+        out[:-k] |= target[k:] & (own.clause[k:] == own.clause[:-k])
+    return out
+
+
+def fold_of(texts: pa.Array) -> np.ndarray:
+    """A training row's fold, by its text alone."""
+    return np.array([zlib.crc32((t or "").encode()) % FOLDS for t in texts.to_pylist()], np.int64)
+
+
 def _stem_step(wanted):
-    """Document frequencies of stems; with `wanted`, of those alone."""
+    """Document frequencies of stems, by fold; with `wanted`, of those alone."""
 
     def run(batches):
         keep = None if wanted is None else wanted.value
         for part, raw, offsets in blocks(batches):
-            buf = folded(raw)
-            starts, ends, rows = words(buf, offsets, ALNUM)
+            own = Clauses(raw, offsets)
+            if not len(own.starts):
+                continue
+            buf, starts, ends, rows = own.buf, own.starts, own.ends, own.rows
             toxic = np.asarray(part.column(part.schema.get_field_index("toxic")).to_numpy(zero_copy_only=False), np.int64)
-            found: dict[str, list[int]] = {}
+            fold, aimed = fold_of(part.column(part.schema.get_field_index("text"))), _near_targets(own)
+            found: list[tuple] = []
             data = buf.tobytes()
             for n in (*STEM_BYTES, 0):  # 0: the whole word
                 use = np.flatnonzero(ends - starts >= max(n, 3))
@@ -234,41 +313,43 @@ def _stem_step(wanted):
                 use, to = use[whole], to[whole]
                 if not len(use):
                     continue
-                h = span_hashes(buf, starts[use], to)
-                order = np.lexsort((rows[use], h))
+                h = span_hashes(buf, starts[use], to, sums=own.sums)
+                order = np.lexsort((~aimed[use], rows[use], h))  # of a row's occurrences one that is aimed
                 fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (rows[use][order][1:] != rows[use][order][:-1])]
                 once = order[fresh]
                 _, first, number = np.unique(h[once], return_index=True, return_inverse=True)
-                t = np.bincount(number, weights=toxic[rows[use[once]]])
-                c = np.bincount(number) - t
-                for k, a, b in zip(once[first], t, c):
+                row = rows[use[once]]
+                cell = number * FOLDS + fold[row]
+                t = np.bincount(cell, weights=toxic[row], minlength=len(first) * FOLDS).reshape(-1, FOLDS)
+                c = np.bincount(cell, minlength=len(first) * FOLDS).reshape(-1, FOLDS) - t
+                m = np.bincount(cell, weights=toxic[row] * aimed[use[once]], minlength=len(first) * FOLDS).reshape(-1, FOLDS)
+                for k, x in zip(once[first].tolist(), np.stack([t, c, m], axis=2).astype(np.int64).tolist()):
                     stem = data[starts[use[k]] : to[k]].decode("utf-8", "replace") + ("" if n else "$")
                     if keep is None or stem in keep:
-                        found[stem] = [int(a), int(b)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], names=["stem", "toxic", "clean"]
-            )
+                        found += [(stem, f, *v) for f, v in enumerate(x) if v[0] or v[1]]
+            columns = list(zip(*found)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(x, pa.int64()) for x in columns[1:])], names=["stem", "fold", "toxic", "clean", "aimed"])
 
     return run
 
 
 def _counts(rows: DataFrame, wanted=None) -> DataFrame:
-    found = rows.select("text", "toxic").mapInArrow(_stem_step(wanted), "stem string, toxic bigint, clean bigint")
-    return found.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = rows.select("text", "toxic").mapInArrow(_stem_step(wanted), "stem string, fold bigint, toxic bigint, clean bigint, aimed bigint")
+    return found.groupBy("stem", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("aimed").alias("aimed"))
 
 
-def choose_stems(counts: list, n_toxic: int, n_clean: int) -> dict[str, float]:
+def choose_stems(counts: dict[str, np.ndarray], n_toxic: int, n_clean: int, min_toxic: int, min_log_odds: float) -> dict[str, tuple[float, bool]]:
     """The shortest stems of enough toxic rows and log-odds; a longer one only where it is
-    much better than its beginnings."""
+    much better than its beginnings. counts: toxic, clean and aimed rows of each stem."""
     odds = lambda t, c: float(np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)))
-    good = sorted(((len(s.encode()), s, odds(t, c)) for s, t, c in counts if t >= MIN_TOXIC and odds(t, c) >= MIN_LOG_ODDS), key=lambda x: (x[0], x[1]))
-    out: dict[str, float] = {}
-    for _, stem, w in good:
+    good = sorted(((len(s.encode()), s, odds(t, c), bool(a >= AIMED * t)) for s, (t, c, a) in counts.items() if t >= min_toxic and odds(t, c) >= min_log_odds), key=lambda x: (x[0], x[1]))
+    out: dict[str, tuple[float, bool]] = {}
+    for _, stem, w, threat in good:
         word = stem.removesuffix("$")
-        above = max((out.get(word[:k], 0.0) for k in range(1, len(word) + (stem != word))), default=0.0)
+        above = max((out.get(word[:k], (0.0, False))[0] for k in range(1, len(word) + (stem != word))), default=0.0)
         if w > above + 1.0 or not above:
-            out[stem] = w
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_STEMS])
+            out[stem] = (w, threat)
+    return dict(sorted(out.items(), key=lambda x: (-x[1][0], x[0]))[:MAX_STEMS])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -338,13 +419,23 @@ def training_rows(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    some = known.where(" or ".join(f"(toxic = {t} and pmod(xxhash64(doc_id), 1000000) < {int(1e6 * min(1, fit_rows / max(1, c)))})" for t, c in n.items() if t in (0, 1)) or "false")
+    share = lambda c: min(1 << 62, (fit_rows << 62) // max(1, c))  # noqa: E731  of the hashes, however many labels
+    some = known.where(" or ".join(f"(toxic = {t} and shiftrightunsigned(xxhash64(doc_id), 2) < {share(c)})" for t, c in n.items() if t in (0, 1)) or "false")
     rows = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most about 2 * fit_rows ids
     # Else what is rare in a much copied text would pass for a sign of its label.
     return near_copies_once(rows.where("text is not null")).select("text", "toxic")
 
 
-def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def _log_loss(model: Model, found: np.ndarray, toxic: np.ndarray) -> float:
+    p = np.clip(model.scores(found), 1e-6, 1 - 1e-6)
+    return float(-(toxic * np.log(p) + (1 - toxic) * np.log(1 - p)).mean())
+
+
+def _fitted(stems, found: np.ndarray, toxic: np.ndarray) -> Model:
+    return Model(stems, *fit_logistic(found, toxic))
+
+
+def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, settings=SETTINGS) -> Model:
     spark = documents.sparkSession
     arrow_limits(spark)
     shared_dir(spark)
@@ -352,19 +443,46 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Mo
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return Model({})
-    likely = _counts(rows.where("toxic = 1")).where(F.col("toxic") >= MIN_TOXIC).select("stem")
+    least = min(m for m, _ in settings)
+    likely = _counts(rows.where("toxic = 1")).groupBy("stem").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least).select("stem")
     wanted = spark.sparkContext.broadcast({r["stem"] for r in likely.collect()})  # of at most fit_rows texts
-    stems = choose_stems([(r["stem"], r["toxic"], r["clean"]) for r in _counts(rows, wanted).collect()], n[1], n[0])
-    found = rows.mapInArrow(_evidence_step(spark.sparkContext.broadcast(Lexicon(stems))), "toxic int, found array<double>").collect()
-    bias, weights = fit_logistic(np.array([r["found"] for r in found]), np.array([r["toxic"] for r in found], float))
-    return Model(stems, bias, weights)
-
-
-def _evidence_step(lexicon_of):
+    counts: dict[str, np.ndarray] = {}
+    for r in _counts(rows, wanted).collect():
+        counts.setdefault(r["stem"], np.zeros((FOLDS, 3), np.int64))[r["fold"]] += (r["toxic"], r["clean"], r["aimed"])
+    sizes = np.zeros((FOLDS, 2), np.int64)
+    for r in rows.groupBy(F.pmod(F.crc32(F.encode("text", "UTF-8")), F.lit(FOLDS)).alias("fold"), "toxic").agg(F.count("*").alias("n")).collect():
+        sizes[r["fold"], r["toxic"]] = r["n"]
+
+    def stems_of(setting, without=None):
+        some = [f for f in range(FOLDS) if f != without]
+        return choose_stems({s: x[some].sum(axis=0) for s, x in counts.items()}, int(sizes[some, 1].sum()), int(sizes[some, 0].sum()), *setting)
+
+    lexicons = [stems_of(x, f) for x in settings for f in (*range(FOLDS), None)]
+    got = rows.mapInArrow(_evidence_step(spark.sparkContext.broadcast([Lexicon(x) for x in lexicons])), "toxic int, fold bigint, found array<double>").collect()
+    toxic, fold = np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got])
+    found = np.array([r["found"] for r in got]).reshape(len(got), len(lexicons), KINDS)
+    losses = []
+    for i in range(len(settings)):
+        at, loss = i * (FOLDS + 1), 0.0
+        for f in range(FOLDS):
+            held = fold == f
+            if held.any():
+                model = _fitted(lexicons[at + f], found[~held, at + f], toxic[~held])
+                loss += _log_loss(model, found[held, at + f], toxic[held]) * held.sum()
+        losses.append(loss / len(got))
+    best = int(np.argmin(losses)) * (FOLDS + 1) + FOLDS
+    return _fitted(lexicons[best], found[:, best], toxic)
+
+
+def _evidence_step(lexicons_of):
     def run(batches):
         for part, raw, offsets in blocks(batches):
-            found = evidence(lexicon_of.value, raw, offsets)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("toxic")), pa.array(list(found), pa.list_(pa.float64()))], names=["toxic", "found"])
+            own = Clauses(raw, offsets)
+            found = np.concatenate([own.evidence(x) for x in lexicons_of.value], axis=1)
+            text = part.column(part.schema.get_field_index("text"))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(part.schema.get_field_index("toxic")), pa.array(fold_of(text)), pa.array(list(found), pa.list_(pa.float64()))], names=["toxic", "fold", "found"]
+            )
 
     return run
 
@@ -390,8 +508,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `documents` that score under the threshold, with their own columns."""
-    model = fit(documents, labels)
-    return score(documents.select(F.struct("*").alias("row"), "text"), model).where(F.col("score") < threshold).select("row.*")
+    model, columns = fit(documents, labels), documents.columns
+    rows = documents.select(F.struct(*(c for c in columns if c != "text")).alias("row"), "text")
+    return score(rows, model).where(F.col("score") < threshold).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
