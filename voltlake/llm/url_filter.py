@@ -13,7 +13,9 @@ Defined results: a null url, or one without "://", has an empty host and path, n
 aliases, and is allowed. Repeated pages get the same answer. Without edges every component is
 a single url. Hosts are compared as they stand, ports included. Links are
 resolved against the page's url, or its <base href>, and &amp; in them is &; OP10_SQL, for pages
-without relative links, takes only those with "://", as they stand.
+without relative links, takes only those with "://", as they stand. Html of any length is
+searched whole; null html has no links. Columns of `pages` but page_id, url and html are not
+read, so that their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ RULES = [
     ("block", "net/fr/"),
 ]
 
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _QUOTED = r"""\s*=\s*["']?([^"'\s>]+)"""
 
@@ -113,19 +116,17 @@ def own_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict of every page, and the number of aliases."""
     edges = page_edges(pages) if edges is None else edges.select("source", "target")
-    key = F.xxhash64("url")
-    links = edges.where("source is not null and target is not null").select(F.xxhash64("source").alias("a"), F.xxhash64("target").alias("b"))
-    component = connected_components(links)
+    # Urls themselves are the nodes: no two are ever taken for one.
+    component = connected_components(edges.where("source is not null and target is not null"), "source", "target")
     known = pages.select("url").unionAll(edges.select("source")).unionAll(edges.select("target")).where("url is not null").distinct()
-    judged = own_rules(known, rules).join(component, F.col("node") == key, "left").drop("node")
-    decided = judged.where("component is not null").groupBy("component").agg(
-        F.max(F.when(F.col("own") == "allow", 2).when(F.col("own") == "block", 1).otherwise(0)).alias("found"), F.count("*").alias("n_aliases")
-    )
-    one = judged.join(decided, "component", "left").select(
-        "url", "host", "path", "rule",
-        F.coalesce("own", F.when(F.col("found") == 1, "block").otherwise("allow")).alias("verdict"),
-        F.coalesce("n_aliases", F.lit(1)).alias("n_aliases"),
-    )
+    judged = own_rules(known, rules).join(component, F.col("node") == F.col("url"), "left").drop("node")
+    own = F.when(F.col("own") == "allow", 2).when(F.col("own") == "block", 1).otherwise(0)
+    linked = judged.where("component is not null").withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
+    decided = linked.groupBy("component", "salt").agg(F.max(own).alias("found"), F.count("*").alias("n")).groupBy("component").agg(F.max("found").alias("found"), F.sum("n").alias("n_aliases"))
+    decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))  # a component may hold a third of the urls
+    told = linked.join(decided, ["component", "salt"]).select("url", "host", "path", "rule", "own", "found", "n_aliases")
+    alone = judged.where("component is null").select("url", "host", "path", "rule", "own", F.lit(0).alias("found"), F.lit(1).cast("bigint").alias("n_aliases"))
+    one = alone.unionAll(told).select("url", "host", "path", "rule", F.coalesce("own", F.when(F.col("found") == 1, "block").otherwise("allow")).alias("verdict"), "n_aliases")
     return pages.select("page_id", "url").join(one, "url", "left").select(
         "page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"),
         "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.coalesce("n_aliases", F.lit(1)).alias("n_aliases"),
