@@ -1,24 +1,29 @@
 """Language-model scores from Brown class-based n-grams.
 
-Word counts of the training texts give the `HEAD` most frequent words units of their own; every
-other word belongs to one of `SHAPES` shape units, by its last letters and punctuation, so that
-unknown words have a unit too. Exchange clustering then puts units into `CLASSES` classes: each
-unit in turn moves to the class that raises the likelihood of the class bigrams most, until a
-sweep moves nothing. The table it works on, bigram counts of units, has at most UNITS x UNITS
-cells whatever the corpus. A token's probability is
+Words are put into `CLASSES` classes by exchange: a word moves to the class that raises the
+likelihood of the class bigrams most. It is done in two steps. The `HEAD` most frequent words,
+and `SHAPES` units that all others share by their last letters and punctuation, are exchanged
+one by one on a table of bigram counts, until a sweep moves nothing. Then every word of the
+`DICTIONARY` most frequent gets a class from its own contexts: its counts by class before and
+class after are gathered over the corpus, spread by word, and each word moves to its best class
+given all others; `ROUNDS` of this, as long as the likelihood rises. Words beyond the dictionary,
+the rare and the unknown, stay in the classes of their shapes. A token's probability is
 
     P(class | class before) * P(unit | class) * P(word | unit)
 
-each smoothed, the last 1 for a head word and, in a shape unit, the word's own count against
-the unit's, with room for one unknown word: the probabilities of what may follow sum to one.
+each smoothed, the last 1 for a word of the dictionary and, in a shape unit, the word's own
+count against the unit's, with room for one unknown word: the probabilities of what may follow
+sum to one.
 
-A word's count is needed for its score. The `DICTIONARY` most frequent words are broadcast;
-tokens of the rest are counted per document and joined to the counts by word, so nothing that
-grows with the vocabulary is gathered in one place.
+Texts are split into words twice, to count them and to write them as unit numbers; all later
+passes read the numbers. A word's count is needed for its score. The dictionary, of words of at
+most `WORD_BYTES` bytes, is broadcast; tokens of the rest are counted per document and joined to
+the counts by word, so nothing that grows with the vocabulary is gathered in one place.
 
 Defined results: a null text is empty and has just the end token. Without training texts every
 probability is that of the smoothing alone. Every row has its own score, repeated or without
-an id (which counts as training: crc32 of null is null).
+an id (which counts as training: crc32 of null is null). A text of any length is scored whole.
+Columns of the input but doc_id and text are not read, so that their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,22 +32,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import arrow_limits, cut, table
-from ._text import NOT_SPACE, blocks, lower, prefix_sums, ragged, span_hashes, words
+from ._text import NOT_SPACE, U, blocks, lower, mix, ragged, span_hashes, words
 
 HEAD = 1024
 SUFFIXES = 128
 SHAPES = 3 * SUFFIXES
 CLASSES = 64
 DICTIONARY = 1 << 17
+WORD_BYTES = 64
 SWEEPS = 12
+ROUNDS = 3
 SMOOTH = 0.1
 BACKOFF = 5.0
-UNITS = 1 + HEAD + SHAPES  # unit 0 is the end of a text
+#: Units of the first step, and contexts that are weighed at once in the second.
+COARSE = 1 + HEAD + SHAPES  # unit 0 is the end of a text
+AT_ONCE = 1 << 14
 
 _STOP = np.zeros(256, np.int64)
 for _b, _k in [*((b, 1) for b in b".!?"), *((b, 2) for b in b",;:")]:
@@ -85,9 +95,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Dictionary:
-    """The most frequent words with their counts; the first HEAD of them have units."""
+    """The most frequent words, with their counts. Unit 0 is the end of a text, then come the
+    words by falling frequency, then the shapes of all other words."""
 
-    def __init__(self, rows: list[tuple[str, int]], head: int) -> None:
+    def __init__(self, rows: list[tuple[str, int]], head: int = HEAD) -> None:
         data = [w.encode() for w, _ in rows]
         ends = np.cumsum([len(d) for d in data]).astype(np.int64) if data else np.zeros(0, np.int64)
         starts = ends - np.array([len(d) for d in data], np.int64)
@@ -95,27 +106,27 @@ class Dictionary:
         h, g = span_hashes(buf, starts, ends), span_hashes(buf, starts, ends, 1)
         order = np.argsort(h)
         self.h, self.g = h[order], g[order]
-        self.c = np.array([c for _, c in rows], np.int64)[order] if rows else np.zeros(0, np.int64)
-        unit = shapes(buf, starts, ends) + 1 + HEAD if rows else np.zeros(0, np.int64)
-        unit[:head] = np.arange(min(head, len(rows))) + 1
-        self.unit = unit[order]
+        self.unit = order.astype(np.int32) + 1
+        self.first_shape = len(rows) + 1
+        self.units = self.first_shape + SHAPES
+        self.counts = np.array([0, *(c for _, c in rows)], np.int64)  # by unit
+        own = np.arange(len(rows)) + 1
+        shape = shapes(buf, starts, ends) + 1 + head if rows else own
+        self.coarse = np.concatenate([[0], np.where(own <= head, own, shape), np.arange(SHAPES) + 1 + head]).astype(np.int64)
 
     def look_up(self, buf, starts, ends) -> np.ndarray:
-        """Each word's place in the dictionary, -1 for none."""
-        if not len(self.h) or not len(starts):
-            return np.full(len(starts), -1)
-        h = span_hashes(buf, starts, ends)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        hit = np.flatnonzero(self.h[at] == h)
-        same = self.g[at[hit]] == span_hashes(buf, starts[hit], ends[hit], 1)
-        out = np.full(len(starts), -1)
-        out[hit[same]] = at[hit[same]]
+        """Each word's unit."""
+        if not len(starts):
+            return np.zeros(0, np.int32)
+        out = (shapes(buf, starts, ends) + self.first_shape).astype(np.int32)
+        if len(self.h):
+            h = span_hashes(buf, starts, ends)
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            hit = np.flatnonzero(self.h[at] == h)
+            hit = hit[self.g[at[hit]] == span_hashes(buf, starts[hit], ends[hit], 1)]
+            out[hit] = self.unit[at[hit]]
         return out
 
-    def units(self, buf, starts, ends, at=None) -> np.ndarray:
-        at = self.look_up(buf, starts, ends) if at is None else at
-        return np.where(at >= 0, self.unit[np.maximum(at, 0)] if len(self.unit) else 0, shapes(buf, starts, ends) + 1 + HEAD) if len(starts) else np.zeros(0, np.int64)
-
 
 def _with_ends(units: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Units before and at each token, the ends of the rows included; tokens in row order."""
@@ -128,37 +139,52 @@ def _with_ends(units: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.nda
     return np.concatenate([[0], seq[:-1]]), seq
 
 
-def _bigram_step(dictionary):
+def _sequences(batches, column: str = "units"):
+    """Units before and at each token of the batches' rows, the ends included."""
+    for part in batches:
+        lists = part.column(part.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(part.num_rows), sizes)
+        before, now = _with_ends(lists.flatten().to_numpy(), rows, part.num_rows)
+        yield part, sizes, before, now
+
+
+def _pair_step(group_of, size: int):
+    """Counts of pairs of groups: group_of has each unit's."""
+
     def run(batches):
-        total = np.zeros(UNITS * UNITS, np.int64)
-        for part, raw, offsets in blocks(batches):
-            buf = lower(raw)
-            starts, ends, rows = words(buf, offsets, NOT_SPACE)
-            before, now = _with_ends(dictionary.value.units(buf, starts, ends), rows, part.num_rows)
-            total += np.bincount(before * UNITS + now, minlength=UNITS * UNITS)
+        total, group = np.zeros(size * size, np.int64), group_of.value
+        for _, _, before, now in _sequences(batches):
+            total += np.bincount(group[before] * size + group[now], minlength=size * size)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells])], names=["cell", "n"])
 
     return run
 
 
-def unit_bigrams(texts: DataFrame, dictionary) -> np.ndarray:
-    """Counts of unit pairs over all texts: UNITS x UNITS cells at most reach the driver."""
-    found = texts.select("text").mapInArrow(_bigram_step(dictionary), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(UNITS * UNITS, np.int64)
+def pair_counts(tokens: DataFrame, group_of: np.ndarray, size: int) -> np.ndarray:
+    """Counts of pairs of groups of units over all texts: size x size cells at most reach the driver."""
+    shared = tokens.sparkSession.sparkContext.broadcast(np.asarray(group_of, np.int64))
+    found = tokens.select("units").mapInArrow(_pair_step(shared, size), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(UNITS, UNITS)
+    return out.reshape(size, size)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def likelihood(bigrams: np.ndarray, of: np.ndarray, classes: int) -> float:
+def pair_likelihood(m: np.ndarray) -> float:
     """The part of the class-bigram log-likelihood that depends on the classes."""
+    m = m.astype(float)
+    return float(_xlogx(m).sum() - _xlogx(m.sum(1)).sum() - _xlogx(m.sum(0)).sum())
+
+
+def likelihood(bigrams: np.ndarray, of: np.ndarray, classes: int) -> float:
     m = np.zeros((classes, classes))
     np.add.at(m, (of[:, None], of[None, :]), bigrams)
-    return float(_xlogx(m).sum() - _xlogx(m.sum(1)).sum() - _xlogx(m.sum(0)).sum())
+    return pair_likelihood(m)
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -208,125 +234,248 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of
 
 
+def _context_step(class_of, classes: int):
+    """For each unit its tokens by class after, from cell 0, and by class before, from cell `classes`."""
+
+    def run(batches):
+        of, wide = class_of.value, 2 * classes
+        for _, _, before, now in _sequences(batches):
+            keys, n = np.unique(np.concatenate([before * wide + of[now], now * wide + classes + of[before]]), return_counts=True)
+            unit, cell = np.divmod(keys, wide)
+            first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else unit
+            at = pa.array(np.append(first, len(unit)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(unit[first], pa.int32()), pa.ListArray.from_arrays(at, pa.array(cell, pa.int32())), pa.ListArray.from_arrays(at, pa.array(n, pa.int64()))], names=["unit", "cells", "ns"]
+            )
+
+    return run
+
+
+def best_classes(unit: np.ndarray, cell: np.ndarray, n: np.ndarray, class_of: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The units that some other class suits better, and that class. unit, cell, n: contexts
+    sorted by unit; m: counts of class pairs. What a unit adds to its own class is taken out of
+    it first; class 0, the end's, takes no other."""
+    classes = len(m)
+    units, first = np.unique(unit, return_index=True)
+    own = class_of[units]
+    gain = np.zeros((len(units), classes))
+    rows, cols = m.sum(1).astype(float), m.sum(0).astype(float)
+    for a in range(0, len(unit), AT_ONCE):
+        b = slice(a, a + AT_ONCE)
+        after = cell[b] < classes
+        x = np.where(after[:, None], m.T[cell[b] % classes], m[cell[b] % classes]).astype(float)
+        k = np.searchsorted(units, unit[b])
+        i = np.arange(len(k))
+        x[i, own[k]] = np.maximum(x[i, own[k]] - n[b], 0)
+        np.add.at(gain, k, _xlogx(x + n[b][:, None]) - _xlogx(x))
+    after = cell < classes
+    for margin, side in ((rows, after), (cols, ~after)):
+        size = np.add.reduceat(np.where(side, n, 0), first).astype(float)
+        x = np.repeat(margin[None, :], len(units), axis=0)
+        i = np.arange(len(units))
+        x[i, own] = np.maximum(x[i, own] - size, 0)
+        gain -= _xlogx(x + size[:, None]) - _xlogx(x)
+    gain[:, 0] = -np.inf
+    best = gain.argmax(axis=1)
+    better = (gain[np.arange(len(units)), best] > gain[np.arange(len(units)), own] + 1e-9) & (units > 0)
+    return units[better], best[better]
+
+
+def _move_step(class_of, m):
+    """Rows (unit, cells, ns) sorted by unit: the units that move, and where to."""
+
+    def moves(held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        sizes = pc.list_value_length(rows["cells"]).to_numpy()
+        unit = np.repeat(rows["unit"].to_numpy(), sizes).astype(np.int64)
+        wide = 2 * len(m.value)
+        keys, inverse = np.unique(unit * wide + pc.list_flatten(rows["cells"]).to_numpy(), return_inverse=True)
+        n = np.bincount(inverse, weights=pc.list_flatten(rows["ns"]).to_numpy())
+        units, to = best_classes(*np.divmod(keys, wide), n, class_of.value, m.value)
+        return pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(to, pa.int32())], names=["unit", "to"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            unit = b.column(0).to_numpy()
+            last = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
+            if last or (held and held[-1].column(0)[-1].as_py() != unit[0]):
+                ready = [*held, b.slice(0, last)] if last else held
+                yield moves(ready)
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield moves(held)
+
+    return run
+
+
+def refine(tokens: DataFrame, class_of: np.ndarray, m: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Exchange of all units by their own contexts, spread by unit: the classes, and their pair
+    counts. Units move together, half of them in each of the first rounds, so a round counts
+    only if the likelihood has risen."""
+    sc, classes = tokens.sparkSession.sparkContext, len(m)
+    for k in range(rounds):
+        of, pairs = sc.broadcast(class_of), sc.broadcast(m)
+        contexts = tokens.select("units").mapInArrow(_context_step(of, classes), "unit int, cells array<int>, ns array<bigint>")
+        moved = contexts.repartition("unit").sortWithinPartitions("unit").mapInArrow(_move_step(of, pairs), "unit int, to int").toArrow()  # a row a unit at most
+        unit, to = moved["unit"].to_numpy(), moved["to"].to_numpy()
+        some = mix(unit.astype(U)) % U(2) == U(k % 2) if k < 2 else np.ones(len(unit), bool)
+        if not some.any():
+            continue
+        new = class_of.copy()
+        new[unit[some]] = to[some]
+        found = pair_counts(tokens, new, classes)
+        if pair_likelihood(found) <= pair_likelihood(m):
+            break
+        class_of, m = new, found
+    return class_of, m
+
+
 @dataclass
 class Model:
     dictionary: Dictionary
-    step: np.ndarray  # log10 of P(class | class) P(unit | class), by unit before and unit
-    unit_total: np.ndarray  # of shape units: their words' tokens, and room for smoothing
+    class_of: np.ndarray  # by unit
+    change: np.ndarray  # log10 of P(class | class before)
+    emit: np.ndarray  # log10 of P(unit | class), by unit
+    unit_total: np.ndarray  # of shapes: their words' tokens, and room for smoothing
     base_total: float
     train_tokens: int
     end_count: int
 
 
-def unit_logs(bigrams: np.ndarray, of: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """log10 P(class | class before) + log10 P(unit | class) for every pair of units."""
-    one = np.eye(classes)[of]
-    m = one.T @ bigrams @ one
-    seen = bigrams.sum(0).astype(float)
-    members = one.sum(0)
-    of_class = one.T @ seen
+def class_logs(m: np.ndarray, seen: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 P(class | class before), and log10 P(unit | class) of every unit."""
+    members = np.bincount(of, minlength=len(m))
+    of_class = np.bincount(of, weights=seen, minlength=len(m))
     prior = (of_class + SMOOTH * members) / (of_class + SMOOTH * members).sum()
     change = (m + BACKOFF * prior) / (m.sum(1, keepdims=True) + BACKOFF)
-    emit = (seen + SMOOTH) / (of_class + SMOOTH * members)[of]
     with np.errstate(divide="ignore"):  # classes without members are never asked for
-        return np.log10(change)[np.ix_(of, of)] + np.log10(emit)
+        return np.log10(change), np.log10((seen + SMOOTH) / (of_class + SMOOTH * members)[of])
 
 
-def _score_step(model_of):
+def _token_step(dictionary):
+    """Rows as their words' units, and the words that are not in the dictionary, counted."""
+
     def run(batches):
-        m = model_of.value
-        base_log = lambda c: np.log10((c + SMOOTH) / m.base_total)
+        own = dictionary.value
         number = TaskContext.get().partitionId() << 40
+        names = ["row", "doc_id", "units", "word", "unit", "n"]
         for part, raw, offsets in blocks(batches):
             n = part.num_rows
             buf = lower(raw)
             starts, ends, rows = words(buf, offsets, NOT_SPACE)
-            at = m.dictionary.look_up(buf, starts, ends)
-            units = m.dictionary.units(buf, starts, ends, at)
-            before, now = _with_ends(units, rows, n)
+            units = own.look_up(buf, starts, ends)
             counts = np.bincount(rows, minlength=n)
-            token_row = np.repeat(np.arange(n), counts + 1)
-            score = np.bincount(token_row, weights=m.step[before, now], minlength=n)
-            base = np.full(n, base_log(m.end_count))
-            known = np.full(n, int(m.end_count > 0))
-            have = np.flatnonzero(at >= 0)
-            c = m.dictionary.c[at[have]] if len(have) else np.zeros(0, np.int64)
-            base += np.bincount(rows[have], weights=base_log(c), minlength=n)
-            known += np.bincount(rows[have], minlength=n)
-            shaped = units[have] > HEAD
-            some = have[shaped]
-            score += np.bincount(rows[some], weights=np.log10((c[shaped] + SMOOTH) / m.unit_total[units[some]]), minlength=n)
             keys = number + np.arange(n)
             number += n
-            nulls = lambda k, kind: pa.nulls(k, kind)
-            names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "unit", "n"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), part.column(0), pa.array(counts + 1), pa.array(known), pa.array(base), pa.array(score), nulls(n, pa.string()), nulls(n, pa.int32()), nulls(n, pa.int64())], names=names
-            )
-            rest = np.flatnonzero(at < 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(units))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0), lists, pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names)
+            rest = np.flatnonzero(units >= own.first_shape)
             if len(rest):
-                h = span_hashes(buf, starts[rest], ends[rest], sums=prefix_sums(buf))
+                h = span_hashes(buf, starts[rest], ends[rest])
                 order = np.lexsort((h, rows[rest]))
                 s = rest[order]
                 fresh = np.flatnonzero(np.r_[True, (rows[s][1:] != rows[s][:-1]) | (h[order][1:] != h[order][:-1])])
                 first, times, k = s[fresh], np.diff(np.append(fresh, len(s))), len(fresh)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows[first]]), nulls(k, pa.int64()), nulls(k, pa.int64()), nulls(k, pa.int64()), nulls(k, pa.float64()), nulls(k, pa.float64()), _word_array(buf, starts[first], ends[first]), pa.array(units[first], pa.int32()), pa.array(times, pa.int64())],
-                    names=names,
+                    [pa.array(keys[rows[first]]), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int32())), _word_array(buf, starts[first], ends[first]), pa.array(units[first]), pa.array(times, pa.int64())], names=names
                 )
 
     return run
 
 
+@dataclass
+class Vocabulary:
+    dictionary: Dictionary
+    counts: DataFrame  # word, c of every training word
+    tokens: int
+    distinct: int
+    n_texts: int
+
+
+def vocabulary(training: DataFrame) -> Vocabulary:
+    counts = cut(word_counts(training), "counts")
+    n_texts = training.count()
+    w = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    top = counts.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(DICTIONARY).toArrow()  # DICTIONARY x WORD_BYTES bytes at most
+    return Vocabulary(Dictionary(list(zip(top["word"].to_pylist(), top["c"].to_pylist()))), counts, w["n"] + n_texts, w["v"] + (n_texts > 0), n_texts)
+
+
+def tokenize(documents: DataFrame, dictionary: Dictionary) -> DataFrame:
+    """row, doc_id, units of every row; and row, word, unit, n of its words beyond the dictionary."""
+    arrow_limits(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(dictionary)
+    return cut(documents.select("doc_id", "text").mapInArrow(_token_step(shared), "row bigint, doc_id bigint, units array<int>, word string, unit int, n bigint"), "tokens")
+
+
 def _shape_step(dictionary):
-    """Words and tokens of each shape unit among the counts; head words have units of their own."""
+    """Words and tokens of each shape among the counts of words that are not in the dictionary."""
 
     def run(batches):
-        words_of, tokens = np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
+        own = dictionary.value
+        words_of, tokens = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
         for part, raw, offsets in blocks(batches, "word"):
-            unit = dictionary.value.units(raw, offsets[:-1], offsets[1:])
-            words_of += np.bincount(unit, minlength=UNITS)
-            tokens += np.bincount(unit, weights=part.column(1).to_numpy(), minlength=UNITS).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(UNITS), pa.int32()), pa.array(words_of), pa.array(tokens)], names=["unit", "words", "tokens"])
+            shape = own.look_up(raw, offsets[:-1], offsets[1:]) - own.first_shape
+            rest = shape >= 0
+            words_of += np.bincount(shape[rest], minlength=SHAPES)
+            tokens += np.bincount(shape[rest], weights=part.column(1).to_numpy()[rest], minlength=SHAPES).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES), pa.int32()), pa.array(words_of), pa.array(tokens)], names=["shape", "words", "tokens"])
 
     return run
 
 
-def fit(training: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the training texts, and the table of their word counts."""
-    spark = training.sparkSession
-    arrow_limits(spark)
-    counts = cut(word_counts(training), "counts")
-    n_texts = training.count()
-    w = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tokens, distinct = w["n"] + n_texts, w["v"] + (n_texts > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(DICTIONARY).toArrow()  # a fixed number of words
-    dictionary = Dictionary(list(zip(top["word"].to_pylist(), top["c"].to_pylist())), HEAD)
-    shared = spark.sparkContext.broadcast(dictionary)
-    bigrams = unit_bigrams(training, shared)
-    of = exchange(bigrams)
-    per_unit = counts.select("word", "c").mapInArrow(_shape_step(shared), "unit int, words bigint, tokens bigint").groupBy("unit").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens"))
-    total = np.full(UNITS, SMOOTH)
-    for r in per_unit.collect():  # UNITS rows
-        total[r["unit"]] = r["tokens"] + SMOOTH * (r["words"] + 1)
-    return Model(dictionary, unit_logs(bigrams, of), total, tokens + SMOOTH * (distinct + 1), tokens, n_texts), counts
+def fit_classes(tokens: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """The model of training texts that are written as units."""
+    own = vocab.dictionary
+    spark = tokens.sparkSession
+    texts = tokens.where("units is not null")
+    coarse = exchange(pair_counts(texts, own.coarse, COARSE))
+    class_of = coarse[own.coarse].astype(np.int64)
+    class_of, m = refine(texts, class_of, pair_counts(texts, class_of, CLASSES), rounds)
+    found = vocab.counts.select("word", "c").mapInArrow(_shape_step(spark.sparkContext.broadcast(own)), "shape int, words bigint, tokens bigint")
+    total, seen = np.full(SHAPES, SMOOTH), np.concatenate([own.counts, np.zeros(SHAPES, np.int64)])
+    seen[0] = vocab.n_texts
+    for r in found.groupBy("shape").agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).collect():  # SHAPES rows
+        seen[own.first_shape + r["shape"]] = r["tokens"]
+        total[r["shape"]] = r["tokens"] + SMOOTH * (r["words"] + 1)
+    change, emit = class_logs(m, seen, class_of)
+    return Model(own, class_of, change, emit, total, vocab.tokens + SMOOTH * (vocab.distinct + 1), vocab.tokens, vocab.n_texts)
 
 
-def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row."""
-    spark = documents.sparkSession
-    arrow_limits(spark)
+def _score_step(model_of):
+    def run(batches):
+        m = model_of.value
+        base_log = lambda c: np.log10((c + SMOOTH) / m.base_total)
+        base_of = np.append(base_log(m.dictionary.counts), np.zeros(SHAPES))  # words beyond are joined to their counts
+        base_of[0] = base_log(m.end_count)
+        known_of = np.append(m.dictionary.counts > 0, np.zeros(SHAPES, bool)).astype(np.int64)
+        known_of[0] = m.end_count > 0
+        for part, sizes, before, now in _sequences(batches):
+            n = part.num_rows
+            row = np.repeat(np.arange(n), sizes + 1)
+            total = lambda x: np.bincount(row, weights=x, minlength=n)
+            score = total(m.change[m.class_of[before], m.class_of[now]] + m.emit[now])
+            own = [part.column(part.schema.get_field_index(x)) for x in ("row", "doc_id")]
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(sizes + 1, pa.int64()), pa.array(total(known_of[now]).astype(np.int64)), pa.array(total(base_of[now])), pa.array(score)],
+                names=["row", "doc_id", "n_tokens", "n_known", "base", "score"],
+            )
+
+    return run
+
+
+def score_tokens(tokens: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row that is written as units."""
+    spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    found = cut(
-        documents.select("doc_id", "text").mapInArrow(
-            _score_step(shared), "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, word string, unit int, n bigint"
-        ),
-        "tokens",
-    )
-    totals = spark.createDataFrame([(i, float(t)) for i, t in enumerate(model.unit_total)], "unit int, unit_total double")
+    found = tokens.where("units is not null").select("row", "doc_id", "units").mapInArrow(_score_step(shared), "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double")
+    totals = spark.createDataFrame([(i + model.dictionary.first_shape, float(t)) for i, t in enumerate(model.unit_total)], "unit int, unit_total double")
     c = F.coalesce("c", F.lit(0))
     rest = (
-        found.where("word is not null").select("row", "word", "unit", "n").join(counts, "word", "left").join(F.broadcast(totals), "unit")
+        tokens.where("word is not null").select("row", "word", "unit", "n").join(counts, "word", "left").join(F.broadcast(totals), "unit")
         .groupBy("row").agg(
             F.sum(F.col("n") * F.log10((c + SMOOTH) / model.base_total)).alias("more_base"),
             F.sum(F.col("n") * F.log10((c + SMOOTH) / F.col("unit_total"))).alias("more_score"),
@@ -334,14 +483,27 @@ def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         )
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return found.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score").join(rest, "row", "left").select(
+    return found.join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"),
         (F.col("base") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"),
     )
 
 
+def fit(training: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model of the training texts, and the table of their word counts."""
+    vocab = vocabulary(training)
+    return fit_classes(tokenize(training, vocab.dictionary), vocab, rounds), vocab.counts
+
+
+def score(documents: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row."""
+    return score_tokens(tokenize(documents, model.dictionary), model, counts)
+
+
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = fit(docs.where(~held_out()))
-    out = score(docs, model, counts)
+    vocab = vocabulary(docs.where(~held_out()))
+    tokens = tokenize(docs, vocab.dictionary)
+    model = fit_classes(tokens.where(~held_out()), vocab)
+    out = score_tokens(tokens, model, vocab.counts)
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
