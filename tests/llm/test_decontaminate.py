@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from voltlake.llm.decontaminate import decontaminate, find_hits, judge
 
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,9 +57,33 @@ def test_against_brute_force(spark, docs):
     assert run(spark, docs, texts, items) == brute(texts, items)
 
 
-def test_benchmark_in_blocks(spark, docs):
+@pytest.mark.parametrize("filter_words", [4, 1 << 12])
+def test_large_benchmark_by_joins(spark, docs, filter_words):
     texts, items = cases()
-    assert run(spark, docs, texts, items, block_bytes=300) == brute(texts, items)
+    assert run(spark, docs, texts, items, block_bytes=300, filter_words=filter_words) == brute(texts, items)
+
+
+def test_spans_and_items_alike_on_both_ways(spark, docs):
+    texts, items = cases()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    d = docs(texts).selectExpr("*", "1 as length", "2 as h", "3 as _found")
+    a, b = (sorted(find_hits(d, bench, block_bytes=n).collect(), key=lambda r: r.doc_id) for n in (1 << 20, 300))
+    assert a == b and a[0].__fields__ == b[0].__fields__
+    for r, t in zip(a, texts):
+        hits = {i for s, e in zip(r.hit_spans[::2], r.hit_spans[1::2]) for i in range(s, e)}
+        assert len(hits) == r.n_hit and all(0 <= i < r.n_words for i in hits) and r.n_items == len(r.hit_items)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 50])
+def test_long_texts_repeats_and_null_ids(spark, block_bytes):
+    passage = " ".join(f"w{i}" for i in range(20))
+    long = "other words here " * 100_000 + passage
+    same = "a " * 600_000
+    rows = [(1, long), (1, long), (None, passage), (None, passage), (2, None), (3, same), (4, passage[:-4])]
+    items = [(7, passage), (7, passage), (8, "a " * 30), (None, "other words here"), (9, "w2 w3")]
+    got = judge(find_hits(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes)).collect()
+    want = [(0, 20, 20, 2, True), (0, 20, 20, 2, True), (1, 300_020, 20, 2, False), (1, 300_020, 20, 2, False), (2, 0, 0, 0, False), (3, 600_000, 600_000, 1, True), (4, 19, 19, 2, True)]
+    assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == want
 
 
 def test_empty_tables_and_clashing_columns(spark, docs):

@@ -50,9 +50,10 @@ SWEEPS = 12
 ROUNDS = 3
 SMOOTH = 0.1
 BACKOFF = 5.0
-#: Units of the first step, and contexts that are weighed at once in the second.
-COARSE = 1 + HEAD + SHAPES  # unit 0 is the end of a text
-AT_ONCE = 1 << 14
+COARSE = 1 + HEAD + SHAPES  # units of the first step; unit 0 is the end of a text
+#: Contexts that are weighed, and tokens that are read, at once.
+AT_ONCE = 1 << 13
+TOKENS = 1 << 19
 
 _STOP = np.zeros(256, np.int64)
 for _b, _k in [*((b, 1) for b in b".!?"), *((b, 2) for b in b",;:")]:
@@ -139,14 +140,21 @@ def _with_ends(units: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.nda
     return np.concatenate([[0], seq[:-1]]), seq
 
 
-def _sequences(batches, column: str = "units"):
-    """Units before and at each token of the batches' rows, the ends included."""
-    for part in batches:
-        lists = part.column(part.schema.get_field_index(column))
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(part.num_rows), sizes)
-        before, now = _with_ends(lists.flatten().to_numpy(), rows, part.num_rows)
-        yield part, sizes, before, now
+def _sequences(batches):
+    """Units before and at each token of rows with `TOKENS` words at most, or of one row, the
+    ends included."""
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("units"))
+        upto = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+        a = 0
+        while a < batch.num_rows:
+            z = max(a + 1, int(np.searchsorted(upto, upto[a] + TOKENS, "right")) - 1)
+            part = batch.slice(a, z - a)
+            sizes = np.diff(upto[a : z + 1])
+            rows = np.repeat(np.arange(z - a), sizes)
+            before, now = _with_ends(part.column(part.schema.get_field_index("units")).flatten().to_numpy(), rows, z - a)
+            yield part, sizes, before, now
+            a = z
 
 
 def _pair_step(group_of, size: int):
