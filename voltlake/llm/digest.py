@@ -6,21 +6,28 @@ the lower its rank. Of each 64 features in a row the leftmost of lowest rank sco
 and features of 16 points or more are selected, in the order of the text, once each. They are
 put into a chain of Bloom filters of 2048 bits, 160 features a filter, 5 bits a feature.
 
+Texts of under 2048 bytes have a second chain, made alike of windows of 12 bytes with 2 points
+in rows of 8: half of such a text may have no whole window of 64 bytes. Those of under 128 have
+a third, of all their windows of 5 bytes (`SCALES`).
+
 Likeness of two filters: shared bits, normalised so that what chance gives is 0 and the most
-possible is 1; of two fingerprints: the mean, over the filters of the one with fewer, weighed
-by features, of the best likeness to a filter of the other.
-
-Defined results: a text without a selected feature takes its highest scoring one; one of under
-64 bytes is a single feature; an empty or null text has the empty fingerprint, like itself (1)
-and unlike all others (0). Equal texts have equal fingerprints under one histogram. In the
-descending order of documents null ids come last and equal ids in the order of their texts; an
-only document is its own next one.
+possible is 1; of two chains: the mean, over the filters of the one with fewer features, weighed
+by features, of the best likeness to a filter of the other; of two fingerprints: that of their
+last chains of one kind that both have.
+
+Defined results: a text without a selected feature takes its highest scoring one; one of less
+than a window is a single feature; an empty or null text has the empty fingerprint, like itself
+(1) and unlike all others (0). A text of any length is read whole. Equal texts have equal
+fingerprints under one histogram. In the descending order of documents null ids come last and
+equal ids, repeated rows too, in the order of their texts; an only document is its own next one.
+Columns but doc_id and text are not read, so that their names can't clash.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,9 +38,19 @@ from pyspark.sql import functions as F
 from ._spark import arrow_limits, table
 from ._text import BLOCK_BYTES, U, blocks, sliding_min, span_hashes
 
-WINDOW = 64
-RUN = 64
-POINTS = 16
+
+
+@dataclass(frozen=True)
+class Scale:
+    """Features of one size, for texts of under so many bytes."""
+
+    window: int
+    run: int
+    points: int
+    under: int
+
+
+SCALES = (Scale(64, 64, 16, 1 << 62), Scale(12, 8, 2, 2048), Scale(5, 1, 1, 128))
 BITS = 2048
 PER_FILTER = 160
 SUBHASHES = 5
@@ -41,88 +58,101 @@ LEVELS = 1001
 ROWS_PER_BLOCK = 4096
 MAX_BLOCKS = 20_000
 #: c * log2(c) in fixed point, so that running sums are exact.
-_TERM = np.array([0, *(round(c * np.log2(c) * (1 << 24)) for c in range(1, WINDOW + 1))], np.int64)
+_TERM = np.array([0, *(round(c * np.log2(c) * (1 << 24)) for c in range(1, 65))], np.int64)
 
 
-def entropies(buf: np.ndarray) -> np.ndarray:
+def entropies(buf: np.ndarray, window: int = 64) -> np.ndarray:
     """The level of each window of `buf`, 0 to 1000, by its start; windows may cross rows."""
-    n = len(buf) - WINDOW + 1
+    n = len(buf) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     before, after = np.zeros(len(buf), np.uint8), np.zeros(len(buf), np.uint8)
-    for d in range(1, WINDOW):
+    for d in range(1, window):
         same = (buf[d:] == buf[:-d]).view(np.uint8)
         before[d:] += same
         after[:-d] += same
     gain = np.diff(_TERM)
     added, removed = gain[before], gain[after]
     total = np.empty(n, np.int64)
-    total[0] = _TERM[np.bincount(buf[:WINDOW], minlength=256)].sum()
-    total[1:] = total[0] + np.cumsum(added[WINDOW:] - removed[: n - 1])
-    most = _TERM[WINDOW]
+    total[0] = _TERM[np.bincount(buf[:window], minlength=256)].sum()
+    total[1:] = total[0] + np.cumsum(added[window:] - removed[: n - 1])
+    most = _TERM[window]
     return ((most - total) * 1000) // most
 
 
-def _valid(n: int, offsets: np.ndarray) -> np.ndarray:
+def _valid(n: int, offsets: np.ndarray, window: int) -> np.ndarray:
     """Which of the block's windows lie in one row."""
     ok = np.ones(n, bool)
     for k in offsets[1:-1]:
-        ok[max(0, k - WINDOW + 1) : k] = False
+        ok[max(0, k - window + 1) : k] = False
     return ok
 
 
+def _of_scale(buf: np.ndarray, offsets: np.ndarray, scale: Scale) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a scale, their bytes and offsets."""
+    sizes = np.diff(offsets)
+    short = sizes < scale.under
+    if short.all():
+        return np.arange(len(sizes)), buf, offsets
+    return np.flatnonzero(short), buf[np.repeat(short, sizes)], np.append(0, np.cumsum(sizes[short]))
+
+
 def _histogram_step(batches):
-    total = np.zeros(LEVELS, np.int64)
+    total = np.zeros((len(SCALES), LEVELS), np.int64)
     for _, raw, offsets in blocks(batches):
-        level = entropies(raw)
-        if len(level):
-            total += np.bincount(level[_valid(len(level), offsets)], minlength=LEVELS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS), pa.int32()), pa.array(total)], names=["level", "n"])
+        for k, scale in enumerate(SCALES):
+            _, buf, at = _of_scale(raw, offsets, scale)
+            level = entropies(buf, scale.window)
+            if len(level):
+                total[k] += np.bincount(level[_valid(len(level), at, scale.window)], minlength=LEVELS)
+    k, level = np.divmod(np.arange(total.size), LEVELS)
+    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(level, pa.int32()), pa.array(total.ravel())], names=["scale", "level", "n"])
 
 
 def entropy_histogram(documents: DataFrame) -> DataFrame:
-    """level, n: windows of each entropy level over all texts; 1001 rows."""
+    """scale, level, n: windows of each entropy level over all texts; 1001 rows a scale."""
     arrow_limits(documents.sparkSession)
-    return documents.select("text").mapInArrow(_histogram_step, "level int, n bigint").groupBy("level").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(_histogram_step, "scale int, level int, n bigint").groupBy("scale", "level").agg(F.sum("n").alias("n"))
 
 
 def ranks(histogram: DataFrame) -> np.ndarray:
-    """The rank of each level, rarest first."""
-    count = np.zeros(LEVELS, np.int64)
-    for r in histogram.collect():  # 1001 rows
-        count[r["level"]] = r["n"]
-    out = np.empty(LEVELS, np.int64)
-    out[np.lexsort((np.arange(LEVELS), count))] = np.arange(LEVELS)
+    """The rank of each level by scale, rarest first."""
+    count = np.zeros((len(SCALES), LEVELS), np.int64)
+    for r in histogram.collect():  # 1001 rows a scale
+        count[r["scale"], r["level"]] = r["n"]
+    out = np.empty_like(count)
+    for k in range(len(SCALES)):
+        out[k, np.lexsort((np.arange(LEVELS), count[k]))] = np.arange(LEVELS)
     return out
 
 
-def features(buf: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(buf: np.ndarray, offsets: np.ndarray, rank: np.ndarray, scale: Scale = SCALES[0]) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of the selected features of a block, in order."""
     n_rows, sizes = len(offsets) - 1, np.diff(offsets)
-    rows, places, lengths = [np.flatnonzero((sizes > 0) & (sizes < WINDOW))], [], []
+    rows, places, lengths = [np.flatnonzero((sizes > 0) & (sizes < scale.window))], [], []
     places.append(offsets[:-1][rows[0]])
     lengths.append(sizes[rows[0]])
-    level = entropies(buf)
+    level = entropies(buf, scale.window)
     if len(level):
         shift = int(len(buf)).bit_length()
-        ok = _valid(len(level), offsets)
+        ok = _valid(len(level), offsets, scale.window)
         key = np.where(ok, rank[level] << shift | np.arange(len(level)), np.int64(1) << 62)
-        key = np.concatenate([key, np.full(RUN - 1, np.int64(1) << 62)])
-        best = sliding_min(key, RUN)[ok] & ((1 << shift) - 1)
+        key = np.concatenate([key, np.full(scale.run - 1, np.int64(1) << 62)])
+        best = sliding_min(key, scale.run)[ok] & ((1 << shift) - 1)
         points = np.bincount(best, minlength=len(level))
         at = np.flatnonzero(points)
         row = np.searchsorted(offsets, at, "right") - 1
         # A row without a feature of enough points takes its best.
         order = np.lexsort((at, -points[at], row))
         first = np.r_[True, row[order][1:] != row[order][:-1]] if len(at) else np.zeros(0, bool)
-        chosen = points[at] >= POINTS
+        chosen = points[at] >= scale.points
         has = np.zeros(n_rows, bool)
         has[row[chosen]] = True
         top = order[first]
         chosen[top[~has[row[top]]]] = True
         rows.append(row[chosen])
         places.append(at[chosen])
-        lengths.append(np.full(int(chosen.sum()), WINDOW))
+        lengths.append(np.full(int(chosen.sum()), scale.window))
     row, at, size = np.concatenate(rows), np.concatenate(places), np.concatenate(lengths)
     h = span_hashes(buf, at, at + size)
     order = np.lexsort((at, h, row))
@@ -132,34 +162,41 @@ def features(buf: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[np
     return row[keep], h[keep]
 
 
-Chain = list[tuple[int, int]]
+#: Filters, as (scale, features, bits).
+Chain = list[tuple[int, int, int]]
 
 
 def chains(texts: list[bytes], rank: np.ndarray) -> list[Chain]:
-    """For each text its filters, as (features, bits)."""
+    """For each text its filters, those of the first scale first."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    row, h = features(np.frombuffer(b"".join(texts), np.uint8), offsets, rank)
-    counts = np.bincount(row, minlength=len(texts))
-    place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
-    n_filters = -(-counts // PER_FILTER)
-    base = np.cumsum(n_filters) - n_filters
-    number = base[row] + place // PER_FILTER
-    bits = np.zeros(int(n_filters.sum()) * BITS, np.uint8)
-    for k in range(SUBHASHES):
-        bits[number * BITS + ((h >> U(11 * k)) & U(BITS - 1)).astype(np.int64)] = 1
-    packed = np.packbits(bits).reshape(-1, BITS // 8)
-    held = np.bincount(number, minlength=len(packed))
-    filters = [(int(n), int.from_bytes(p.tobytes(), "big")) for n, p in zip(held, packed)]
-    return [filters[b : b + n] for b, n in zip(base, n_filters)]
+    raw, out = np.frombuffer(b"".join(texts), np.uint8), [[] for _ in texts]
+    for k, scale in enumerate(SCALES):
+        mine, buf, at = _of_scale(raw, offsets, scale)
+        row, h = features(buf, at, rank[k], scale)
+        counts = np.bincount(row, minlength=len(mine))
+        place = np.arange(len(row)) - (np.cumsum(counts) - counts)[row]
+        n_filters = -(-counts // PER_FILTER)
+        base = np.cumsum(n_filters) - n_filters
+        number = base[row] + place // PER_FILTER
+        bits = np.zeros(int(n_filters.sum()) * BITS, np.uint8)
+        for i in range(SUBHASHES):
+            bits[number * BITS + ((h >> U(11 * i)) & U(BITS - 1)).astype(np.int64)] = 1
+        packed = np.packbits(bits).reshape(-1, BITS // 8)
+        held = np.bincount(number, minlength=len(packed))
+        filters = [(k, int(n), int.from_bytes(p.tobytes(), "big")) for n, p in zip(held, packed)]
+        for i, b, n in zip(mine.tolist(), base.tolist(), n_filters.tolist()):
+            out[i] += filters[b : b + n]
+    return out
 
 
 def fingerprint_text(chain: Chain) -> str:
-    """Features and bits of each filter, in base64, joined by dots."""
-    return ".".join(f"{n}:{base64.b64encode(b.to_bytes(BITS // 8, 'big')).decode()}" for n, b in chain)
+    """Scale, features and bits of each filter, in base64, joined by dots."""
+    return ".".join(f"{k}:{n}:{base64.b64encode(b.to_bytes(BITS // 8, 'big')).decode()}" for k, n, b in chain)
 
 
 def parse_fingerprint(text: str) -> Chain:
-    return [(int(n), int.from_bytes(base64.b64decode(b), "big")) for n, _, b in (x.partition(":") for x in text.split(".") if x)]
+    parts = (x.split(":") for x in text.split(".") if x)
+    return [(int(k), int(n), int.from_bytes(base64.b64decode(b), "big")) for k, n, b in parts]
 
 
 def _overlap(a: int, b: int) -> float:
@@ -173,6 +210,8 @@ def _overlap(a: int, b: int) -> float:
 def likeness(one: Chain, other: Chain) -> float:
     if not one or not other:
         return float(not one and not other)
+    scale = max({k for k, _, _ in one} & {k for k, _, _ in other})  # all have the first
+    one, other = ([(n, b) for k, n, b in x if k == scale] for x in (one, other))
     if sum(n for n, _ in one) > sum(n for n, _ in other) or (len(one) > len(other)):
         one, other = other, one
     return sum(n * max(_overlap(b, c) for _, c in other) for n, b in one) / sum(n for n, _ in one)
