@@ -19,6 +19,7 @@ _GEN = "cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / 100000"
 VIEWS = {
     "market_index": f"select cast(ts as date) as settlement_date, {_SP} as settlement_period, 'APXMIDP' as provider, cast(sum({_CENTS}) as double) / (100 * count(value)) - 40 as price from events group by 1, 2",
     "market_index_multi": f"select cast(ts as date) as settlement_date, {_SP} as settlement_period, event_type as provider, cast(sum({_CENTS}) as double) / (100 * count(value)) - 40 as price from events group by 1, 2, 3",
+    "market_index_long_day": f"select cast(ts as date) as settlement_date, {_SP} + case when cast(ts as date) = date '2024-01-28' then 2 else 0 end as settlement_period, 'APXMIDP' as provider, cast(sum({_CENTS}) as double) / (100 * count(value)) - 40 as price from events group by 1, 2",
     "system_prices": f"select cast(ts as date) as settlement_date, {_SP} as settlement_period, cast(sum(case when event_type = 'click' then {_CENTS} end) as double) / (100 * nullif(count(case when event_type = 'click' then value end), 0)) as sell_price, cast(sum(case when event_type = 'purchase' then {_CENTS} end) as double) / (100 * nullif(count(case when event_type = 'purchase' then value end), 0)) as buy_price from events group by 1, 2",
     "auctions": f"select {_SERVICE} as service, date_add(date '2024-01-01', cast(l_orderkey % 30 as int)) as efa_date, cast((l_linenumber - 1) % 6 + 1 as int) as efa, cast(sum({_PRICE}) as double) / (1000000 * count(*)) as price, cast(sum(cast(l_quantity as bigint)) as double) / count(*) as volume from lineitem group by 1, 2, 3",
     "auctions_raw": f"select {_SERVICE} as service, date_add(date '2024-01-01', cast(l_orderkey % 30 as int)) as efa_date, cast((l_linenumber - 1) % 6 + 1 as int) as efa, cast({_PRICE} as double) / 1000000 as price, l_quantity as volume, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem",

@@ -91,13 +91,15 @@ def fixed_schedule(prices: DataFrame, cells: DataFrame, fr_mw: float) -> DataFra
 
 
 def response_revenue(auctions: DataFrame, plan: DataFrame | None, cells: DataFrame, services: list[str] | None = None, start=None, end=None, min_price: float = 0.0) -> DataFrame:
-    """scenario, month, service, revenue_gbp. A block that the plan lacks earns at full power."""
+    """scenario, month, service, revenue_gbp. A block that the plan lacks earns at full power. A
+    plan without blocks (scenario, efa_date, fr_mw) holds for all of a day's."""
     a = date_range(of_services(auctions, services, min_price), "efa_date", start, end)
     rows = a.join(F.broadcast(cells.select("scenario", "power_mw")))  # scenarios, not rows
     if plan is None:
         rows = rows.withColumn("mw", F.col("power_mw"))
     else:
-        rows = rows.join(plan.select("scenario", "efa_date", "efa", "fr_mw"), ["scenario", "efa_date", "efa"], "left").withColumn("mw", F.coalesce("fr_mw", "power_mw"))
+        keys = [c for c in ("scenario", "efa_date", "efa") if c in plan.columns]
+        rows = rows.join(plan.select(*keys, "fr_mw"), keys, "left").withColumn("mw", F.coalesce("fr_mw", "power_mw"))
     return rows.groupBy("scenario", cal.month(F.col("efa_date")).alias("month"), "service").agg(F.sum(F.col("price") * F.col("mw") * BLOCK_HOURS).alias("revenue_gbp"))
 
 

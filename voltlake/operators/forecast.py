@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import correlation
+from ..functions.ranks import average_ranks, percentiles
 from .features import columns_for, curve_features
 from .models import build
 
@@ -20,25 +21,19 @@ def split(features: DataFrame, test_start: str) -> tuple[DataFrame, DataFrame]:
     return features.where(F.col("settlement_date") < at), features.where(F.col("settlement_date") >= at)
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks with ties at their mean. The running count is made over the sorted distinct
-    values, pre-aggregated, so that no task gets all rows of a tie."""
-    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(F.lit(1)).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = values.select(column, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, column, "left")
-
-
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Correlation of the ranks, those of ties at their mean."""
     both = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return average_ranks(average_ranks(both, a, "_ra"), b, "_rb").agg(correlation("_ra", "_rb").alias("rho"))
+    for c, name in ((a, "_ra"), (b, "_rb")):
+        both = both.join(average_ranks(both, c).withColumnRenamed("rank", name), c)
+    return both.agg(correlation("_ra", "_rb").alias("rho"))
 
 
 def metrics(scored: DataFrame, actual: str = "spot", predicted: str = "prediction", least_spikes: int = 10) -> DataFrame:
     """n, rmse, mae, rho and the root mean square error of the top tenth of prices, if there
     are `least_spikes` of them. Not rounded."""
     s = scored.select(F.col(actual).alias("y"), F.col(predicted).alias("p")).where("y is not null and p is not null")
-    high = s.agg(F.percentile("y", 0.9).alias("limit"))
+    high = percentiles(s, [], "y", {"limit": 0.9})
     e = s.join(F.broadcast(high)).withColumn("e", F.col("y") - F.col("p"))  # one row
     spike = F.col("y") >= F.col("limit")
     out = e.agg(

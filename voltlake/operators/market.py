@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions.constants import MARKETS
 from ..functions.numbers import correlation as pearson
+from ..functions.ranks import percentile_columns, percentiles, ranked
 
 
 def clearing_trend(auctions: DataFrame, days: int = 28) -> DataFrame:
@@ -18,8 +19,16 @@ def clearing_trend(auctions: DataFrame, days: int = 28) -> DataFrame:
 
 
 def service_summary(auctions: DataFrame) -> DataFrame:
-    return auctions.where("service is not null").groupBy("service").agg(
-        F.avg("price").alias("mean_price"), F.median("price").alias("median_price"), F.max("price").alias("max_price"), F.avg("volume").alias("mean_volume"), F.count("price").alias("n"))
+    rows = auctions.where("service is not null")
+    plain = rows.groupBy("service").agg(F.avg("price").alias("mean_price"), F.max("price").alias("max_price"), F.avg("volume").alias("mean_volume"), F.count("price").alias("n"))
+    middle = percentiles(rows, ["service"], "price", {"median_price": 0.5})
+    return _beside(plain, middle, ["service"]).select("service", "mean_price", "median_price", "max_price", "mean_volume", "n")
+
+
+def _beside(plain: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a group on either side, joined also where a key is null."""
+    more = more.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return plain.join(F.broadcast(more), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*(f"_{k}" for k in keys))
 
 
 def service_order(auctions: DataFrame) -> DataFrame:
@@ -28,9 +37,9 @@ def service_order(auctions: DataFrame) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, [0.25, 0.5, 0.75])
-    out = df.groupBy(*keys).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"))
-    return out.select(*keys, "low", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q2"), F.get("q", F.lit(2)).alias("q3"), "high")
+    """Least, quartiles and greatest value of each group."""
+    out = ranked(df, keys, value).groupBy(*keys).agg(F.min(value).alias("low"), *percentile_columns(value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}), F.max(value).alias("high"))
+    return _beside(df.select(*keys).distinct(), out, keys)
 
 
 def spreads(auctions: DataFrame) -> DataFrame:
@@ -60,9 +69,11 @@ def spread_heat_map(s: DataFrame, market: str) -> DataFrame:
 
 def spread_summary(s: DataFrame) -> DataFrame:
     """A missing spread counts as not positive."""
-    return s.groupBy("market").agg(
-        F.avg("spread").alias("mean"), F.median("spread").alias("median"), F.stddev_samp("spread").alias("std"), F.min("spread").alias("min"), F.max("spread").alias("max"),
+    plain = s.groupBy("market").agg(
+        F.avg("spread").alias("mean"), F.stddev_samp("spread").alias("std"), F.min("spread").alias("min"), F.max("spread").alias("max"),
         (F.avg(F.when(F.col("spread") > 0, 1.0).otherwise(0.0)) * 100).alias("pct_positive"))
+    middle = percentiles(s, ["market"], "spread", {"median": 0.5})
+    return _beside(plain, middle, ["market"]).select("market", "mean", "median", "std", "min", "max", "pct_positive")
 
 
 def system_daily(prices: DataFrame) -> DataFrame:

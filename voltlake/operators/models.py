@@ -133,7 +133,7 @@ class PeriodLinearModel:
                 y = rows["spot"].to_numpy(float)
                 w, b = fit_lasso(rows[columns].to_numpy(float), np.sign(y) * np.log1p(np.abs(y)))
                 out = {"settlement_period": [rows["settlement_period"].iloc[0]], "weights": [w.tolist()], "intercept": [b]}
-            return pd.DataFrame(out)
+            return pd.DataFrame(out).astype({"weights": object})
 
         ship(df.sparkSession)
         data = _filled(df, columns).select("settlement_period", "spot", *columns)

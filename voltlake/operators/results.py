@@ -109,5 +109,19 @@ def compare(strategies: dict[str, DataFrame]) -> DataFrame:
     return s.join(nets.select("scenario", "naive", "perfect"), "scenario").withColumn("gap", gap).drop("naive", "perfect")
 
 
+def trading_gap(monthly: dict[str, DataFrame]) -> DataFrame:
+    """What each strategy nets from trading alone, income less wear, and its gap."""
+    s = reduce(lambda a, b: a.unionByName(b), (m.groupBy("scenario").agg((F.sum("imbalance_revenue_gbp") - F.sum("cycling_cost_gbp")).alias("trading_net")).select(F.lit(k).alias("strategy"), "scenario", "trading_net") for k, m in monthly.items()))
+    nets = s.groupBy("scenario").pivot("strategy", list(monthly)).agg(F.first("trading_net"))
+    gap = revenue_gap({"model": F.col("trading_net"), "naive": F.col("naive"), "perfect": F.col("perfect")})
+    return s.join(nets.select("scenario", "naive", "perfect"), "scenario").withColumn("gap", gap).drop("naive", "perfect")
+
+
+def ranked_models(table: DataFrame, metric: str, least: bool = True) -> DataFrame:
+    """A comparison table with its best rows by a metric marked, ties all of them."""
+    best = table.agg((F.min if least else F.max)(metric).alias("_best"))  # one row
+    return table.join(F.broadcast(best)).withColumn("best", F.coalesce(F.col(metric) == F.col("_best"), F.lit(False))).drop("_best")
+
+
 def best_of(table: DataFrame, metric: str, label: str, least: bool = True) -> DataFrame:
     return table.agg((F.min_by if least else F.max_by)(label, metric).alias(label), (F.min if least else F.max)(metric).alias(metric))

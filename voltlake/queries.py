@@ -53,6 +53,12 @@ register("flt_without_services", "select service, efa_date, efa, price, volume f
     lambda s, d: rounded(clean.without_services(view(s, d, "auctions"), ["DCH", "DRL"]).select("service", "efa_date", "efa", "price", "volume"))
 )
 SQL["flt_without_services"] = f"with {ctes('auctions')} select service, efa_date, efa, round(price, 6) as price, round(volume, 6) as volume from auctions where service not in ('DCH', 'DRL')"
+register("flt_provider", "select settlement_date, settlement_period, provider, round(price, 6) as price from market_index_multi where provider = 'purchase'", "market_index_multi")(
+    lambda s, d: rounded(clean.of_provider(view(s, d, "market_index_multi"), "purchase"))
+)
+register("flt_extra_periods", "select settlement_date, settlement_period, provider, round(price, 6) as price from market_index_long_day where settlement_period <= 48", "market_index_long_day")(
+    lambda s, d: rounded(clean.drop_extra_periods(view(s, d, "market_index_long_day")))
+)
 register("flt_month_range", "select settlement_date, fuel_group, round(generation, 6) as generation from generation_long where settlement_date between date '1997-03-01' and date '1997-05-31'", "generation_long")(
     lambda s, d: rounded(clean.month_range(view(s, d, "generation_long"), "settlement_date", "1997-03-15", "1997-05-02"))
 )
@@ -189,12 +195,15 @@ where lag_1d is not null and lag_2d is not null and lag_7d is not null and lag_1
 
 def _curves(s, d):
     p = features.spot(view(s, d, "market_index"))
-    return rounded(features.curve_features(p).select("settlement_date", "settlement_period", "curve_1d_1", "curve_1d_48", "curve_2d_17", "curve_7d_33", "dow_0", "dow_6"))
+    return rounded(features.curve_features(p))
 
 
 register(
     "feature_curves",
-    "select b.settlement_date, b.settlement_period, " + ", ".join(f"round(c{k}_{p}.price, 6) as curve_{k}d_{p}" for k, p in ((1, 1), (1, 48), (2, 17), (7, 33))) + ", cast(isodow(b.settlement_date) = 1 as int) as dow_0, cast(isodow(b.settlement_date) = 7 as int) as dow_6 from market_index b " + " ".join(f"left join market_index c{k}_{p} on c{k}_{p}.settlement_date = b.settlement_date - {k} and c{k}_{p}.settlement_period = {p}" for k, p in ((1, 1), (1, 48), (2, 17), (7, 33))),
+    "select b.settlement_date, b.settlement_period, "
+    + ", ".join(f"round(w{k}.p{p}, 6) as curve_{k}d_{p}" for k in (1, 2, 7) for p in range(1, 49))
+    + ", " + ", ".join(f"cast(isodow(b.settlement_date) = {i + 1} as int) as dow_{i}" for i in range(7)) + " from market_index b "
+    + " ".join("left join (select settlement_date + {0} as settlement_date, ".format(k) + ", ".join(f"max(case when settlement_period = {p} then price end) as p{p}" for p in range(1, 49)) + f" from market_index group by 1) w{k} on w{k}.settlement_date = b.settlement_date" for k in (1, 2, 7)),
     "market_index",
 )(_curves)
 _TECH = ["automobile", "building"]
@@ -245,11 +254,11 @@ walk(i, efa_date, efa, soc, go, revenue, wear, mwh) as (
 
 
 _TRADES = "with recursive " + _BASE + ", " + _recursion("ends", "chg * 0.9")
-_MONTHLY = _TRADES + """, arb as (select cast(date_trunc('month', efa_date) as date) as month, sum(revenue) as rev, sum(wear) as wear from walk where go group by 1),
+_INCOME = """, arb as (select cast(date_trunc('month', efa_date) as date) as month, sum(revenue) as rev, sum(wear) as wear from walk where go group by 1),
 wide as (select month, """ + ", ".join(f"coalesce(sum(case when service = '{x}' then revenue_gbp end), 0.0) * 0.95 as {x}_rev" for x in SERVICES) + """ from income group by 1),
 monthly as (select coalesce(w.month, a.month) as month, """ + ", ".join(f"coalesce({x}_rev, 0.0) as {x}_rev" for x in SERVICES) + """, coalesce(rev, 0.0) * 0.95 as imbalance_revenue_gbp, coalesce(wear, 0.0) * 0.95 as cycling_cost_gbp from wide w full join arb a on a.month = w.month),
 totals as (select *, """ + " + ".join(f"{x}_rev" for x in SERVICES) + """ + imbalance_revenue_gbp as gross_revenue from monthly)"""
-_FTRADES = "with recursive " + _BASE.replace("auctions a left join plan", "auctions a left join plan") + ", "
+_MONTHLY = _TRADES + _INCOME
 
 
 def _inputs(s, d):
@@ -357,9 +366,50 @@ def _gap(s, d):
 
 
 register("revenue_gap")(_gap)
-register("size_sensitivity")(lambda s, d: bt.size_sensitivity(view(s, d, "auctions"), view(s, d, "market_index")).summary.drop("breakdown"))
-register("mpc_backtest")(lambda s, d: _perfect(s, d, method="mpc", horizon=48).monthly)
-register("soc_profile")(lambda s, d: market.soc_profile(_perfect(s, d, method="mpc", horizon=16).soc))
+_FMONTHLY = "with recursive " + _FORECAST + ", " + _FENDS + ", " + _recursion("fends", "dis / 0.9") + _INCOME
+_NETS = "select sum(gross_revenue) - sum(cycling_cost_gbp) as net, sum(imbalance_revenue_gbp) - sum(cycling_cost_gbp) as arb from totals"
+_BOTH = f"with p as ({_MONTHLY} {_NETS}), n as ({_FMONTHLY} {_NETS})"
+SQL["revenue_gap"] = _BOTH + " select s.strategy, 'reference' as scenario, round(s.net, 3) as total_net, round(case when abs(p.net - n.net) >= 1.0 then (s.net - n.net) / (p.net - n.net) end, 6) as gap from p, n, (select 'perfect' as strategy, net from p union all select 'naive', net from n) s"
+
+
+def _trading_gap(s, d):
+    a, m, c = _inputs(s, d)
+    runs = {"perfect": bt.perfect_foresight(a, m, c), "naive": bt.forecast_driven(a, m, c)}
+    return re.trading_gap({k: r.monthly for k, r in runs.items()}).select("strategy", "scenario", F.round("trading_net", 3).alias("trading_net"), F.round("gap", 6).alias("gap"))
+
+
+register("trading_gap")(_trading_gap)
+SQL["trading_gap"] = _BOTH + " select s.strategy, 'reference' as scenario, round(s.arb, 3) as trading_net, round(case when abs(p.arb - n.arb) >= 1.0 then (s.arb - n.arb) / (p.arb - n.arb) end, 6) as gap from p, n, (select 'perfect' as strategy, arb from p union all select 'naive', arb from n) s"
+
+
+def _sizes(s, d):
+    x = bt.size_sensitivity(view(s, d, "auctions"), view(s, d, "market_index")).summary
+    return x.select("scenario", *(F.round(c, 3).alias(c) for c in ("total_gross", "total_cycling_cost", "total_net", "years_covered", "annualised_net", "annualised_per_mw")), "top_service", F.round("fr_mw", 6).alias("fr_mw"), F.round("arb_mw", 6).alias("arb_mw"))
+
+
+def _of_size(sql: str, mw: float) -> str:
+    """The summary's SQL for another power: its limits of charge, 10, 90 and 100 MWh, follow."""
+    for limit, share in (("soc - 10.0", "soc - {}"), ("90.0 - soc", "{} - soc"), ("0.0), 100.0) else", "0.0), {}) else")):
+        assert limit in sql
+        sql = sql.replace(limit, share.format({"s": 0.2, "9": 1.8, "0": 2.0}[limit[0]] * mw))
+    return sql.replace("50.0", str(mw)).replace("'reference'", f"'{mw:g} MW'")
+
+
+register("size_sensitivity")(_sizes)
+SQL["size_sensitivity"] = " union all ".join(f"select * from ({_of_size(SQL['backtest_summary'], mw)})" for mw in (10.0, 25.0, 50.0, 100.0, 200.0))
+
+
+def _by_day(s, d):
+    """Response income under a plan that knows days only: the day's mean power, else all of it."""
+    a, m, c = _inputs(s, d)
+    plan = al.schedule(a, al.spot_prices(m), c).groupBy("scenario", "efa_date").agg(F.avg("fr_mw").alias("fr_mw")).where(F.dayofmonth("efa_date") % 3 != 0)
+    return al.response_revenue(a, plan, c).select("month", "service", F.round("revenue_gbp", 4).alias("revenue_gbp"))
+
+
+register("ancillary_by_day")(_by_day)
+SQL["ancillary_by_day"] = f"with {_BASE}, daily as (select efa_date, avg(fr_mw) as fr_mw from plan where dayofmonth(efa_date) % 3 <> 0 group by 1) select cast(date_trunc('month', a.efa_date) as date) as month, a.service, round(sum(a.price * coalesce(p.fr_mw, 50.0) * 4), 4) as revenue_gbp from auctions a left join daily p on p.efa_date = a.efa_date where a.price >= 0 group by 1, 2"
+register("mpc_backtest")(lambda s, d: _perfect(s, d, method="mpc").monthly)
+register("soc_profile")(lambda s, d: market.soc_profile(_perfect(s, d, method="mpc").soc))
 
 
 def _model(kind: str, **options):
@@ -370,10 +420,11 @@ def _model(kind: str, **options):
     return run
 
 
-register("model_forest")(_model("rf", numTrees=20, maxDepth=6))
-register("model_boosted")(_model("xgb", maxIter=8, maxDepth=4))
-register("model_per_period")(_model("lear", least=5))
-register("model_neural")(_model("dnn", layers=(32, 16), epochs=20))
+register("model_forest")(_model("rf"))
+register("model_boosted")(_model("xgb"))
+register("model_boosted_deep")(_model("lgb"))
+register("model_per_period")(_model("lear", least=5))  # the fixture has 23 days a period; the default least is 30
+register("model_neural")(_model("dnn"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
