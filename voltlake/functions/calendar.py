@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_DATES = ["yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "dd-MMM-yyyy", "yyyy/MM/dd"]
+from .holidays import between
+
+HOLIDAYS = between(1990, 2060)
+FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "dd-MMM-yyyy", "yyyy/MM/dd"]
 
 
 def period_of(ts: Column) -> Column:
@@ -40,7 +43,7 @@ def month(day: Column) -> Column:
 
 def parse_day(c: str, formats: list[str] | None = None) -> Column:
     """A lenient date of mixed formats, the day first; null if none fits."""
-    return F.coalesce(*(F.to_date(F.expr(f"try_to_timestamp(trim(`{c}`), '{f}')")) for f in formats or _DATES))
+    return F.coalesce(*(F.to_date(F.try_to_timestamp(F.trim(f"`{c}`"), F.lit(f))) for f in formats or FORMATS))
 
 
 def strict_day(c: str, formats: list[str] | None = None) -> Column:
@@ -50,8 +53,9 @@ def strict_day(c: str, formats: list[str] | None = None) -> Column:
 
 
 def bank_holiday(day: Column, holidays: list[str] | None = None) -> Column:
-    """1 on the given days, else 0; without a calendar always 0."""
-    return F.when(day.isin([F.lit(h).cast("date") for h in holidays]), 1).otherwise(0) if holidays else F.lit(0)
+    """1 on the given days, else 0; by default on the bank holidays of England."""
+    days = HOLIDAYS if holidays is None else holidays
+    return F.when(F.date_format(day, "yyyy-MM-dd").isin(days), 1).otherwise(0) if days else F.lit(0)
 
 
 def slot_of_week(day: Column, sp: Column) -> Column:

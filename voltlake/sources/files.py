@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.calendar import parse_day
 from ..functions.constants import PROJECT_ALIASES
-from ..functions.numbers import clean_doubles
+from ..functions.numbers import clean_doubles, number
 from ..schemas import PROCESSED_NAMES, TABLES
+from .workbook import Workbook
 
 FORMATS = ("csv", "parquet")
 
@@ -81,25 +84,109 @@ def resolve_headers(df: DataFrame, aliases: dict[str, list[str]] | None = None)
     return df.withColumnsRenamed({c: name for name, c in found.items() if c})
 
 
-def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """The project register as CSV, whose header is its first row or its fifth: the one with two
-    known names or more. Spreadsheets are to be exported first; Spark reads none."""
-    head = [r[0] for r in spark.read.text(path).limit(5).collect()]
-    for skip in (0, 4):
-        if skip < len(head):
-            names = next(iter(spark.read.csv(spark.sparkContext.parallelize([head[skip]])).collect()), ())
-            known = {a for v in PROJECT_ALIASES.values() for a in v}
-            if sum(str(n).strip().lower() in known for n in names if n) >= 2:
-                names = [str(n) if n else f"_c{i}" for i, n in enumerate(names)]
-                rows = spark.read.csv(path, schema=", ".join(f"`{n}` string" for n in names), multiLine=skip == 0, enforceSchema=True)
-                return resolve_headers(rows.where(~F.coalesce(F.col(f"`{names[0]}`").isin([h.split(",")[0].strip('"') for h in head[: skip + 1]]), F.lit(False))))
+def _known_names(names: list) -> int:
+    """How many of the register's columns a header holds."""
+    have = {str(n).strip().lower() for n in names if n}
+    return sum(any(a in have for a in options) for options in PROJECT_ALIASES.values())
+
+
+#: Rows that the header of a project register may stand in, from 0.
+HEADER_ROWS = (0, 4)
+
+
+def _named(header: list) -> list[str]:
+    """Header cells as column names, none empty, none twice."""
+    out: list[str] = []
+    for i, n in enumerate(header):
+        name = str(n).strip() if n else f"_c{i}"
+        out.append(name if name.lower() not in {x.lower() for x in out} else f"{name}_{i}")
+    return out
+
+
+def read_workbook(spark: SparkSession, path: str, sheet: str = "REPD") -> DataFrame:
+    """A project register in a workbook: the named sheet if there is one, then the others; the
+    first whose first or fifth row is a header."""
+    data = spark.read.format("binaryFile").load(path).select("content").first()
+    if data is None:
+        raise FileNotFoundError(path)
+    book = Workbook(bytes(data["content"]))
+    for name in sorted(book.sheets, key=lambda n: n != sheet):
+        rows = list(book.rows(name))
+        for skip in HEADER_ROWS:
+            if skip < len(rows) and _known_names(rows[skip]) >= 2:
+                names = _named(rows[skip])
+                body = [tuple((r + [None] * len(names))[: len(names)]) for r in rows[skip + 1 :] if any(r)]
+                return spark.createDataFrame(body, ", ".join(f"`{n}` string" for n in names))
+    raise ValueError(f"no known header in {path}: {', '.join(book.sheets)}")
+
+
+def _read_register(spark: SparkSession, path: str) -> DataFrame:
+    """The register as CSV."""
+    head = [r[0] for r in spark.read.text(path).limit(max(HEADER_ROWS) + 1).collect()]
+    for skip in HEADER_ROWS:
+        names = next(csv.reader(head[skip : skip + 1]), []) if skip < len(head) else []
+        if _known_names(names) < 2:
+            continue
+        schema = ", ".join(f"`{n}` string" for n in _named(names))
+        if not skip:
+            return spark.read.csv(path, schema=schema, header=True, multiLine=True, enforceSchema=True)
+        # The lines above the data are told by their whole text, the blank ones among them by that.
+        lines = spark.read.text(path).where(~F.col("value").isin(head[: skip + 1]) & (F.trim("value") != ""))
+        return lines.select(F.from_csv("value", schema).alias("r")).select("r.*")
     raise ValueError(f"no known header in {path}")
 
 
-def write_manifest(path: str, manifest: dict) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=2, default=str)
+def read_projects(spark: SparkSession, path: str) -> DataFrame:
+    """The project register, a workbook or CSV, whose header is its first row or its fifth: the
+    one with two known columns or more. Columns in their canonical names, the capacity as a
+    number and the date of operation as a date; what is neither is null."""
+    df = resolve_headers(read_workbook(spark, path) if path.lower().endswith(".xlsx") else _read_register(spark, path))
+    typed = {"installed_capacity_mw": number("installed_capacity_mw"), "operational_date": parse_day("operational_date")}
+    return df.withColumns({c: v.alias(c) for c, v in typed.items() if c in df.columns})
+
+
+def modified(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """When each input file was last changed; paths that are missing have no entry."""
+    out = {}
+    for path in paths:
+        try:
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).agg(F.max("modificationTime").cast("string").alias("t")).first()
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
+            continue
+        if found["t"]:
+            out[path.rstrip("/").rpartition("/")[2]] = found["t"]
+    return out
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """One JSON document, on the file system that the tables are on."""
+    text = json.dumps(manifest, default=str)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    return spark.read.json(path)
+
+
+def load_manifest(spark: SparkSession, path: str) -> dict:
+    """A manifest as it was written; without one an empty one."""
+    try:
+        row = spark.read.text(path).first()
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        return {}
+    return json.loads(row["value"]) if row else {}
+
+
+def load_result(spark: SparkSession, out: str, table: str, strategy: str) -> DataFrame | None:
+    """A back-test's table, monthly or soc, of one strategy, months as dates; None if there is none."""
+    try:
+        df = spark.read.parquet(f"{out}/{table}/strategy={strategy}")
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        return None
+    return df.withColumn("month", F.col("month").cast("date")) if "month" in df.columns else df

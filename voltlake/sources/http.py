@@ -1,21 +1,32 @@
 """Market-data connectors as Spark Python data sources, behind a fetch function that tests and
-offline runs replace. One partition for each request window; a window that fails is logged and
-skipped, as one bad day must not lose a year."""
+offline runs replace. The request windows of a source are read by `streams` partitions, one by
+default, which share the source's rate; a window that the server refuses is logged and skipped,
+as one bad day must not lose a year, and `missing_windows` names it. What is wrong with the
+answer's form is an error."""
 
 from __future__ import annotations
 
+import csv
+import http.client
 import json
 import logging
+import shutil
 import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
 from datetime import date, timedelta
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import calendar as cal
 from ..functions import constants as k
+from ..functions.numbers import number
+from ..operators.clean import date_range, embedded_generation
+from ..schemas import AUCTIONS, EAC_RAW, PROCESSED_NAMES
 
 log = logging.getLogger(__name__)
 TIMEOUT = 30
@@ -28,6 +39,27 @@ def get_json(url: str, params: dict | None = None) -> dict:
         return json.load(r)
 
 
+def get_text(url: str) -> str:
+    with urllib.request.urlopen(url, timeout=4 * TIMEOUT) as r:
+        return r.read().decode("utf-8-sig")
+
+
+def download_once(url: str, folder: str, local: str | None = None) -> str:
+    """The path of a file: a local copy, else one downloaded before, else a new download."""
+    if local and Path(local).exists():
+        return local
+    if not url:
+        raise ValueError("neither a local file nor an address is given")
+    target = Path(folder) / (url.split("/")[-1].split("?")[0] or "latest.xlsx")
+    if not target.exists():
+        target.parent.mkdir(parents=True, exist_ok=True)
+        part = target.with_name(f".{target.name}.part")
+        with urllib.request.urlopen(url, timeout=4 * TIMEOUT) as r, open(part, "wb") as f:
+            shutil.copyfileobj(r, f)
+        part.rename(target)  # a download that breaks off leaves no file that passes for whole
+    return str(target)
+
+
 class Limiter:
     """At least 60 / per_minute seconds between calls."""
 
@@ -78,10 +110,12 @@ def year_resources(listing: dict, prefix: str = "Historic Demand Data ") -> dict
     return {int(n.removeprefix(prefix)): i for n, i in found.items() if n.startswith(prefix) and n.removeprefix(prefix).strip().isdigit()}
 
 
-class Window(InputPartition):
-    def __init__(self, start: str, end: str) -> None:
-        super().__init__((start, end))
-        self.start, self.end = start, end
+class Windows(InputPartition):
+    """Request windows that one task reads, one after another."""
+
+    def __init__(self, parts: list[tuple[str, str]], streams: int) -> None:
+        super().__init__(tuple(parts))
+        self.parts, self.streams = parts, streams
 
 
 class MarketReader(DataSourceReader):
@@ -89,21 +123,27 @@ class MarketReader(DataSourceReader):
         self.options, self.names = dict(options), names
 
     def partitions(self):
-        return [Window(a, b) for a, b in windows(self.options["start"], self.options["end"], int(self.options.get("days", "7")))]
+        parts = windows(self.options["start"], self.options["end"], int(self.options.get("days", "7")))
+        streams = max(1, min(int(self.options.get("streams", "1")), len(parts)))
+        return [Windows(parts[i::streams], streams) for i in range(streams)]
 
     def read(self, partition):
         o = self.options
-        Limiter(float(o.get("per_minute", "60"))).wait()
-        params = {o.get("from_name", "from"): partition.start, o.get("to_name", "to"): partition.end}
-        try:
-            records = get_json(o["url"].format(start=partition.start, end=partition.end), params if o.get("pass_range", "true") == "true" else None)
+        limiter = Limiter(float(o.get("per_minute", "60")) / partition.streams)
+        for start, end in partition.parts:
+            limiter.wait()
+            params = {o.get("from_name", "from"): start, o.get("to_name", "to"): end}
+            try:
+                records = get_json(o["url"].format(start=start, end=end), params if o.get("pass_range", "true") == "true" else None)
+            except (OSError, http.client.HTTPException, json.JSONDecodeError) as e:  # network and HTTP errors, cut answers
+                if o.get("on_error", "skip") == "raise":
+                    raise
+                log.warning("window %s to %s failed: %s", start, end, e)
+                continue
             for part in o.get("records", "data").split("."):
                 records = records[part]
-        except Exception as e:
-            log.warning("window %s to %s failed: %s", partition.start, partition.end, e)
-            return
-        for r in records:
-            yield tuple(None if r.get(n) is None else str(r[n]) for n in self.names)
+            for r in records:
+                yield tuple(None if r.get(n) is None else str(r[n]) for n in self.names)
 
 
 class MarketSource(DataSource):
@@ -125,6 +165,15 @@ def collect(spark: SparkSession, url: str, columns: list[str], start: str, end:
     return spark.read.format("market").options(url=url, start=start, end=end, columns=",".join(columns), **options).load()
 
 
+def missing_windows(df: DataFrame, day: str, start: str, end: str, days: int = 7) -> DataFrame:
+    """start, end of the request windows of which a table has no day."""
+    parts = df.sparkSession.createDataFrame(windows(start, end, days), "start string, end string")
+    parts = parts.select(F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
+    have = df.select(F.to_date(day).alias("_day")).where("_day is not null")
+    number = lambda c: F.floor(F.datediff(c, F.lit(start).cast("date")) / days)
+    return parts.withColumn("_n", number(F.col("start"))).join(have.select(number(F.col("_day")).alias("_n")).distinct(), "_n", "left_anti").drop("_n")
+
+
 def remote_sql(spark: SparkSession, base: str, sql: str, fetch: Callable[[str, dict], dict] = get_json) -> DataFrame:
     """Rows of a remote SQL statement; the server's text-search column is dropped."""
     body = fetch(f"{base}/datastore_search_sql", {"sql": sql})
@@ -147,13 +196,93 @@ def _rows(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 
 def or_empty(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
-    """A table, or an empty one if reading it fails."""
+    """A table, or an empty one if its source fails: the network, the server, or an answer that
+    is not what was asked for. Errors in the program are raised."""
     try:
         return read()
-    except Exception as e:
+    except (OSError, http.client.HTTPException, json.JSONDecodeError, RuntimeError, KeyError) as e:
         log.warning("read failed, taken as empty: %s", e)
         return spark.createDataFrame([], schema)
 
 
-def collect_all(readers: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
-    return {name: read() for name, read in readers.items()}
+def requirements(spark: SparkSession, base: str, resource: str, fetch: Callable[[str, dict], dict] = get_json) -> DataFrame:
+    """A service's volume requirements: EFA_DATE as a date, the other columns as they are."""
+    df = remote_page(spark, base, resource, fetch=fetch)
+    return df.withColumn("EFA_DATE", cal.strict_day("EFA_DATE")) if "EFA_DATE" in df.columns else df
+
+
+def legacy_auctions(spark: SparkSession, base: str, resource: str, start: str, end: str, fetch: Callable[[str, dict], dict] = get_json) -> DataFrame:
+    """Results of the first platform in the names used here; what is no number or date is null."""
+    sql = range_sql(resource, [], "EFA Date", start, end, "EFA Date")
+    raw = remote_sql(spark, base, sql, fetch)
+    have = lambda c: F.col(f"`{c}`") if c in raw.columns else F.lit(None).cast("string")
+    own = raw.select(*(have(old).alias(new) for old, new in PROCESSED_NAMES["auctions"].items()))
+    time_ = lambda c: F.expr(f"cast(try_cast(`{c}` as timestamp) as timestamp_ntz)").alias(c)
+    return own.select("service", cal.parse_day("efa_date", [*cal.FORMATS, "yyyy-MM-dd'T'HH:mm:ss"]).alias("efa_date"), F.expr("try_cast(efa as int)").alias("efa"), time_("delivery_start"), time_("delivery_end"), number("volume").alias("volume"), number("price").alias("price"))
+
+
+def half_hourly_auctions(spark: SparkSession, base: str, resources: dict[str, str], start: str, end: str, fetch: Callable[[str, dict], dict] = get_json) -> DataFrame:
+    """Raw rows of the second platform, its archive and its current part, for the days of a range
+    that each holds."""
+    names = [x.split()[0] for x in EAC_RAW.split(", ")]
+    out = spark.createDataFrame([], EAC_RAW)
+    for part, a, b in route_auctions(start, end):
+        if part in resources and part != "legacy":
+            rows = remote_sql(spark, base, range_sql(resources[part], names, "deliveryStart", a, b, "deliveryStart", "auctionProduct", k.SERVICES), fetch)
+            if rows.columns:
+                out = out.unionByName(rows.select(*names))
+    return out
+
+
+def embedded_years(spark: SparkSession, base: str, dataset: str, start: str, end: str, download: str, fetch: Callable[[str, dict], dict] = get_json, fetch_text: Callable[[str], str] = get_text) -> DataFrame:
+    """Embedded solar and wind generation of a range, from a CSV file a year; a year without a
+    resource, or whose download fails, is logged and left out. download: the address of a file,
+    with {dataset}, {resource} and {year}."""
+    found = year_resources(fetch(f"{base}/package_show", {"id": dataset}))
+    out = spark.createDataFrame([], "settlement_date date, settlement_period int, generation double, fuel_type string")
+    for year in range(int(start[:4]), int(end[:4]) + 1):
+        if year not in found:
+            log.warning("no resource for %s", year)
+            continue
+        try:
+            text = fetch_text(download.format(dataset=dataset, resource=found[year], year=year))
+        except (OSError, http.client.HTTPException) as e:
+            log.warning("year %s failed: %s", year, e)
+            continue
+        lines = text.splitlines()  # a year of half-hours
+        names = [x.strip().upper() for x in next(csv.reader(lines[:1]))]
+        rows = spark.createDataFrame([(x,) for x in lines[1:] if x.strip()], "value string")
+        wide = rows.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("r.*")
+        out = out.unionByName(embedded_generation(wide))
+    return date_range(out, "settlement_date", start, end)
+
+
+def collect_markets(spark: SparkSession, config: dict, start: str, end: str, fetch: Callable[[str, dict], dict] = get_json, fetch_text: Callable[[str], str] = get_text) -> dict[str, DataFrame]:
+    """Every table that the configuration names a source for. A table whose source fails is empty
+    and logged, so that one failure doesn't lose the rest."""
+    data, out = config.get("auction_api") or {}, {}
+    base, ids = data.get("base_url"), data.get("resources") or {}
+    if base:
+        limiter = Limiter(float(data.get("rate_limit", 2)))
+
+        def paced(url: str, params: dict) -> dict:
+            limiter.wait()
+            return fetch(url, params)
+
+        parts = {x for x, _, _ in route_auctions(start, end)}
+        if "legacy" in parts and "legacy" in ids:
+            a, b = next((a, b) for x, a, b in route_auctions(start, end) if x == "legacy")
+            out["auction_results"] = or_empty(lambda: legacy_auctions(spark, base, ids["legacy"], a, b, paced), spark, AUCTIONS)
+        if parts & {"archive", "current"} & set(ids):
+            out["eac_results"] = or_empty(lambda: half_hourly_auctions(spark, base, ids, start, end, paced), spark, EAC_RAW)
+        for name in ("dr_requirements", "dm_requirements"):
+            if name in ids:
+                out[name] = or_empty(lambda n=name: requirements(spark, base, ids[n], paced), spark, "EFA_DATE date")
+        if data.get("demand_dataset") and data.get("demand_download"):
+            empty = "settlement_date date, settlement_period int, generation double, fuel_type string"
+            out["embedded_solar_wind"] = or_empty(lambda: embedded_years(spark, base, data["demand_dataset"], start, end, data["demand_download"], paced, fetch_text), spark, empty)
+    market = config.get("price_api") or {}
+    for name, source in (market.get("endpoints") or {}).items():
+        rate = {"per_minute": str(market.get("rate_limit", 60))}
+        out[name] = collect(spark, market["base_url"] + source["path"], source["columns"].split(","), start, end, **rate, **{k_: str(v) for k_, v in (source.get("options") or {}).items()})
+    return out
