@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voltlake.operators import features, fleet, forecast, market, models
+from voltlake.functions import holidays, numbers, ranks
+from voltlake.operators import features, fleet, forecast, market, models, results
+from voltlake.plans import jobs
 
 D = dt.date(2024, 1, 1)
 
@@ -106,4 +108,58 @@ def test_unknown_model():
 def test_average_ranks(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,), (None,)], "v double")
     assert sorted((r.v or 0, r.k) for r in forecast.average_ranks(df, "v").withColumnRenamed("rank", "k").collect()) == [(1.0, 1.0), (2.0, 2.5), (5.0, 4.0)]
-    assert F is not None
+    
+
+def test_network_over_shards(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(3000, 3))
+    y = 2 * x[:, 0] - x[:, 1] + 1
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i // 30) for i in range(3000)]
+    rows = [(d, float(np.sign(v) * np.expm1(abs(v))), *map(float, a)) for d, v, a in zip(days, y, x)]
+    df = spark.createDataFrame(rows, "settlement_date date, spot double, a double, b double, c double")
+    error = {}
+    for shard_rows in (10_000, 800):
+        m = models.NeuralModel(["a", "b", "c"], layers=(32,), epochs=25, dropout=0.0, rate=0.01, batch=64, shard_rows=shard_rows).fit(df)
+        error[shard_rows] = m.predict(df).selectExpr("avg(abs(log1p(abs(prediction)) * sign(prediction) - log1p(abs(spot)) * sign(spot)))").first()[0]
+    assert max(error.values()) < 0.35 and float(np.abs(y - y.mean()).mean()) > 1.5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ranks_and_percentiles(spark, seed):
+    r = np.random.default_rng(seed)
+    rows = [(k, None if r.random() < 0.05 else float(r.choice([-1.0, 0.0, 2.5, r.normal(), float(r.integers(40))]))) for k in ("a", "b", None) for _ in range(int(r.integers(1, 400)))]
+    df = spark.createDataFrame([*rows, ("one", 3.0), ("none", None)], "k string, v double")
+    got = {x.k: x for x in ranks.percentiles(df, ["k"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0}).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for k in ("a", "b", None):
+        own = [v for g, v in rows if g == k and v is not None]
+        assert (got[k].low, got[k].mid, got[k].top) == pytest.approx((np.percentile(own, 10), np.percentile(own, 50), max(own)))
+        for x in ranks.ranked(df, ["k"], "v", buckets=8).where(F.col("k").eqNullSafe(F.lit(k))).collect():
+            assert (x.n, x.before, x.total) == (own.count(x.v), sum(v < x.v for v in own), len(own))
+    assert ranks.percentiles(df.where("false"), [], "v", {"mid": 0.5}).first().mid is None
+
+
+def test_holidays():
+    assert [holidays.easter(y).isoformat() for y in (1999, 2008, 2011, 2024, 2038)] == ["1999-04-04", "2008-03-23", "2011-04-24", "2024-03-31", "2038-04-25"]
+    days = set(holidays.between(2011, 2024))
+    assert {"2011-04-29", "2011-12-27", "2012-06-04", "2020-05-08", "2020-12-28", "2021-12-28", "2022-01-03", "2022-09-19", "2023-05-08", "2024-08-26"} <= days
+    assert not {"2012-05-28", "2020-05-04", "2022-05-30", "2024-12-27"} & days
+
+
+def test_benchmarks(spark):
+    m = features.feature_matrix(index(spark), generation(spark)).persist()
+    small = {"rf": {"numTrees": 3, "maxDepth": 3}, "lear": {"least": 3}}
+    table = jobs.model_benchmark(m, "2024-01-22", tuple(small), small).persist()
+    rows = {r.model: r for r in table.collect()}
+    assert set(rows) == set(small) and all(r.part == "test" and r.overfit > 0 for r in rows.values())
+    least = min(rows, key=lambda k: rows[k].rmse)
+    assert jobs.best_model(table).first().model == least
+    assert [r.model for r in results.ranked_models(table, "rmse").where("best").collect()] == [least]
+    auctions = spark.createDataFrame([("DCH", dt.date(2024, 1, 22), 2, 1.0, 5.0)], "service string, efa_date date, efa int, volume double, price double")
+    gaps = {r.strategy: r.gap for r in jobs.revenue_benchmark(auctions, index(spark), m, "2024-01-22", ("lear",), small).collect()}
+    assert set(gaps) == {"perfect", "naive", "lear"}
+
+
+def test_money(spark):
+    df = spark.createDataFrame([(2_345_678.0,), (-1_500_000.0,), (12_345.0,), (0.0,), (None,)], "x double")
+    assert [r[0] for r in df.select(numbers.money(F.col("x"))).collect()] == ["£2.35M", "£-1.50M", "£12k", "£0k", None]

@@ -8,7 +8,6 @@ import zipfile
 from typing import ClassVar
 
 import pytest
-from pyspark.sql import functions as F
 
 from voltlake.plans import jobs
 from voltlake.sources import files, http as web
@@ -253,4 +252,14 @@ def test_streams(spark, tmp_path):
     assert sorted((r.n, r.price) for r in run(live.half_hours(stream), "half", "complete")) == [(1, 40.0), (2, 5.0)]
     assert sorted(r.soc_frac for r in run(live.state_of_charge(stream), "soc", "append")) == [pytest.approx(0.6), pytest.approx(0.7), pytest.approx(0.8)]
     assert len(run(live.first_of_key(stream, ["unit"]), "first", "append")) == 1
-    assert F is not None
+
+
+def test_sliding_mean_stream(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 12)
+    rows = [(t + dt.timedelta(days=d), "DCH", float(d)) for d in (0, 1, 2, 40)]
+    spark.createDataFrame(rows, "ts timestamp, service string, price double").write.parquet(f"{tmp_path}/in")
+    stream = live.sliding_mean(spark.readStream.schema("ts timestamp, service string, price double").parquet(f"{tmp_path}/in"), days=2)
+    q = stream.writeStream.format("memory").queryName("sliding").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {str(r.day): r.trend for r in spark.table("sliding").collect()}
+    assert {k: got[k] for k in ("2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04")} == {"2024-01-01": 0.0, "2024-01-02": 0.5, "2024-01-03": 1.5, "2024-01-04": 2.0}

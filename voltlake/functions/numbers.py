@@ -47,7 +47,7 @@ def clip(c: Column, low: float, high: float) -> Column:
 
 def money(c: Column) -> Column:
     """Short text in millions or thousands of pounds."""
-    return F.when(F.abs(c) >= 1e6, F.format_string("£%.2fM", c / 1e6)).otherwise(F.format_string("£%.0fk", c / 1e3))
+    return F.when(F.abs(c) >= 1e6, F.format_string("£%.2fM", c / 1e6)).when(c.isNotNull(), F.format_string("£%.0fk", c / 1e3))
 
 
 def correlation(a: Column | str, b: Column | str) -> Column:

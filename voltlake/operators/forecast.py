@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import correlation
 from ..functions.ranks import average_ranks, percentiles
+from ..session import cut
 from .features import columns_for, curve_features
 from .models import build
 
@@ -33,6 +34,7 @@ def metrics(scored: DataFrame, actual: str = "spot", predicted: str = "predictio
     """n, rmse, mae, rho and the root mean square error of the top tenth of prices, if there
     are `least_spikes` of them. Not rounded."""
     s = scored.select(F.col(actual).alias("y"), F.col(predicted).alias("p")).where("y is not null and p is not null")
+    s = cut(s, "scored")  # two columns that are read several times; what made them may be a long plan
     high = percentiles(s, [], "y", {"limit": 0.9})
     e = s.join(F.broadcast(high)).withColumn("e", F.col("y") - F.col("p"))  # one row
     spike = F.col("y") >= F.col("limit")

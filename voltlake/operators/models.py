@@ -155,7 +155,10 @@ class PeriodLinearModel:
 @dataclass
 class NeuralModel:
     """A multilayer perceptron in NumPy: rectified layers, Adam, early stopping on the last
-    tenth of the days. Fitted in one task on a bounded training set (`max_rows`, documented)."""
+    tenth of the days. A training set of up to `shard_rows` rows is fitted in one process. A
+    larger one is dealt by hash into shards of about that many: every epoch each shard trains
+    from the common weights in a task of its own, and the weights are averaged by rows. All
+    rows are used at any size."""
 
     columns: list[str]
     layers: tuple[int, ...] = (512, 256, 128, 64)
@@ -165,18 +168,63 @@ class NeuralModel:
     dropout: float = 0.15
     rate: float = 1e-3
     seed: int = 42
-    max_rows: int = 200_000
+    shard_rows: int = 100_000
     state: list = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> NeuralModel:
-        n = df.count()
-        share = min(1.0, self.max_rows / max(1, n))
-        data = _filled(df, self.columns).where(F.pmod(F.xxhash64("settlement_date", "settlement_period"), F.lit(1_000_000)) < int(1_000_000 * share))
-        rows = data.select("settlement_date", "spot", *self.columns).toPandas().sort_values("settlement_date", kind="stable")
-        x, y = rows[self.columns].to_numpy(float), rows["spot"].to_numpy(float)
-        self.state = train_network(x, np.sign(y) * np.log1p(np.abs(y)), self)
+        data = _filled(df, self.columns).select("settlement_date", signed_log(F.col("spot")).alias("label"), *self.columns).where("label is not null")
+        n = data.count()
+        self.state = self._fit_here(data) if n <= self.shard_rows else self._fit_shards(data, -(-n // self.shard_rows))
         return self
 
+    def _fit_here(self, data: DataFrame) -> list:
+        rows = data.toPandas().sort_values("settlement_date", kind="stable")  # `shard_rows` rows at most
+        return train_network(rows[self.columns].to_numpy(float), rows["label"].to_numpy(float), self)
+
+    def _fit_shards(self, data: DataFrame, shards: int) -> list:
+        ship(data.sparkSession)
+        sizes = data.groupBy("settlement_date").agg(F.count("*").alias("n")).orderBy("settlement_date").collect()  # a row a day
+        upto = np.cumsum([r["n"] for r in sizes])
+        last = sizes[min(int(np.searchsorted(upto, 0.9 * upto[-1])), len(sizes) - 1)]["settlement_date"]
+        data = data.withColumns({"held": F.col("settlement_date") > F.lit(last), "shard": F.pmod(F.xxhash64(*data.columns), F.lit(shards))}).persist()
+        stats = data.where("not held").agg(F.avg("label"), *(f(c) for c in self.columns for f in (F.avg, F.stddev_pop))).first()
+        mean, std = np.array(stats[1::2], float), np.array(stats[2::2], float)
+        std = np.where(std > 0, std, 1.0)
+        weights = new_weights(np.random.default_rng(self.seed), [len(self.columns), *self.layers, 1], stats[0])
+        columns, batch, dropout, seed = self.columns, self.batch, self.dropout, self.seed
+        best, stop = None, EarlyStop(self.patience, self.rate)
+        for epoch in range(self.epochs):
+            shared = data.sparkSession.sparkContext.broadcast((mean, std, weights))
+            rate = stop.rate
+
+            def one(rows: pd.DataFrame) -> pd.DataFrame:
+                mean, std, w = shared.value
+                held = rows["held"].to_numpy(bool)
+                z, y = (rows[columns].to_numpy(float) - mean) / std, rows["label"].to_numpy(float)
+                lost = float(((run_network(rows[columns].to_numpy(float)[held], [mean, std, w]) - y[held]) ** 2).sum())
+                w = [[a.copy(), b.copy()] for a, b in w]
+                rng = np.random.default_rng((seed, epoch, int(rows["shard"].iloc[0])))
+                train_epoch(z[~held], y[~held], w, zero_moments(w), 0, rng, batch, dropout, rate)
+                flat = np.concatenate([x.ravel() for layer in w for x in layer])
+                return pd.DataFrame({"n": [int((~held).sum())], "held": [int(held.sum())], "lost": [lost], "weights": [flat.astype("<f8").tobytes()]})
+
+            total, flat, lost, n_held = 0, 0.0, 0.0, 0
+            for r in data.groupBy("shard").applyInPandas(one, "n bigint, held bigint, lost double, weights binary").toLocalIterator():
+                total, flat = total + r["n"], flat + r["n"] * np.frombuffer(r["weights"], "<f8")
+                lost, n_held = lost + r["lost"], n_held + r["held"]
+            before, weights, at = weights, [], 0
+            for layer in before:
+                weights.append([])
+                for x in layer:
+                    weights[-1].append((flat[at : at + x.size] / max(total, 1)).reshape(x.shape))
+                    at += x.size
+            better, done = stop.seen(lost / max(n_held, 1))  # of the weights that the epoch began with
+            best = before if better or best is None else best
+            if done:
+                break
+        data.unpersist()
+        return [mean, std, best]
+
     def predict(self, df: DataFrame) -> DataFrame:
         state, columns = self.state, self.columns
         ship(df.sparkSession)
@@ -203,51 +251,80 @@ def run_network(x: np.ndarray, state: list) -> np.ndarray:
     return h[:, 0]
 
 
+def new_weights(rng, sizes: list[int], bias: float) -> list:
+    weights = [[rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)] for a, b in zip(sizes, sizes[1:])]
+    weights[-1][1][:] = bias
+    return weights
+
+
+def zero_moments(weights: list) -> list:
+    return [[np.zeros_like(p) for p in layer for _ in (0, 1)] for layer in weights]
+
+
+def train_epoch(z: np.ndarray, y: np.ndarray, weights: list, moments: list, t: int, rng, batch: int, dropout: float, rate: float) -> int:
+    """One pass of Adam over the rows in random batches, in place; the steps done so far."""
+    order = rng.permutation(len(z))
+    for a in range(0, len(z), batch):
+        at = order[a : a + batch]
+        acts, masks = [z[at]], []
+        for i, (w, b) in enumerate(weights):
+            h = acts[-1] @ w + b
+            if i < len(weights) - 1:
+                mask = (h > 0) * (rng.random(h.shape) >= dropout) / (1 - dropout)
+                h = h * mask
+                masks.append(mask)
+            acts.append(h)
+        grad = 2 * (acts[-1] - y[at][:, None]) / len(at)
+        t += 1
+        for i in range(len(weights) - 1, -1, -1):
+            g = [acts[i].T @ grad, grad.sum(0)]
+            if i:
+                grad = (grad @ weights[i][0].T) * masks[i - 1]
+            for k in (0, 1):
+                m1, m2 = moments[i][2 * k], moments[i][2 * k + 1]
+                m1 += 0.1 * (g[k] - m1)
+                m2 += 0.001 * (g[k] ** 2 - m2)
+                weights[i][k] -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+    return t
+
+
+@dataclass
+class EarlyStop:
+    """Halves the rate after six epochs without a better loss, and stops after `patience`."""
+
+    patience: int
+    rate: float
+    least: float = np.inf
+    waited: int = 0
+    stale: int = 0
+
+    def seen(self, loss: float) -> tuple[bool, bool]:
+        """Whether the loss is the best so far, and whether to stop."""
+        if loss < self.least - 1e-9:
+            self.least, self.waited, self.stale = loss, 0, 0
+            return True, False
+        self.waited, self.stale = self.waited + 1, self.stale + 1
+        if self.stale > 5:
+            self.rate, self.stale = self.rate * 0.5, 0
+        return False, self.waited >= self.patience
+
+
 def train_network(x: np.ndarray, y: np.ndarray, m: NeuralModel) -> list:
     rng = np.random.default_rng(m.seed)
     mean, std = x.mean(0), x.std(0)
     std = np.where(std > 0, std, 1.0)
     cut = max(1, int(0.9 * len(x)))
     z, held = (x[:cut] - mean) / std, x[cut:]
-    sizes = [x.shape[1], *m.layers, 1]
-    weights = [[rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)] for a, b in zip(sizes, sizes[1:])]
-    weights[-1][1][:] = y[:cut].mean() if cut else 0.0
-    moments = [[np.zeros_like(p) for p in layer for _ in (0, 1)] for layer in weights]
-    best, least, waited, stale, rate, t = None, np.inf, 0, 0, m.rate, 0
+    weights = new_weights(rng, [x.shape[1], *m.layers, 1], y[:cut].mean() if cut else 0.0)
+    moments, t, best, stop = zero_moments(weights), 0, None, EarlyStop(m.patience, m.rate)
     for _ in range(m.epochs):
-        order = rng.permutation(len(z))
-        for a in range(0, len(z), m.batch):
-            at = order[a : a + m.batch]
-            acts, masks = [z[at]], []
-            for i, (w, b) in enumerate(weights):
-                h = acts[-1] @ w + b
-                if i < len(weights) - 1:
-                    mask = (h > 0) * (rng.random(h.shape) >= m.dropout) / (1 - m.dropout)
-                    h = h * mask
-                    masks.append(mask)
-                acts.append(h)
-            grad = 2 * (acts[-1] - y[:cut][at][:, None]) / len(at)
-            t += 1
-            for i in range(len(weights) - 1, -1, -1):
-                g = [acts[i].T @ grad, grad.sum(0)]
-                if i:
-                    grad = (grad @ weights[i][0].T) * masks[i - 1]
-                for k in (0, 1):
-                    m1, m2 = moments[i][2 * k], moments[i][2 * k + 1]
-                    m1 += 0.1 * (g[k] - m1)
-                    m2 += 0.001 * (g[k] ** 2 - m2)
-                    weights[i][k] -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+        t = train_epoch(z, y[:cut], weights, moments, t, rng, m.batch, m.dropout, stop.rate)
         now = [mean, std, [(w.copy(), b.copy()) for w, b in weights]]
-        loss = float(((run_network(held, now) - y[cut:]) ** 2).mean()) if len(held) else 0.0
-        if loss < least - 1e-9:
-            best, least, waited, stale = now, loss, 0, 0
-        else:
-            waited, stale = waited + 1, stale + 1
-            if stale > 5:
-                rate, stale = rate * 0.5, 0
-            if waited >= m.patience:
-                break
-    return best or now
+        better, done = stop.seen(float(((run_network(held, now) - y[cut:]) ** 2).mean()) if len(held) else 0.0)
+        best = now if better or best is None else best
+        if done:
+            break
+    return best
 
 
 def build(kind: str, columns: list[str], **options):
