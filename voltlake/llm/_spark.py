@@ -2,51 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, shared_dir, ship
+
+__all__ = ["arrow_limits", "cut", "fixed_width", "shared_dir", "table"]
 
 ARROW_BYTES = 8 << 20
 ARROW_ROWS = 4096
 
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the folder that
-    the context checkpoints to. Only with a local master, as in tests, a folder of this process;
-    on a cluster such a folder would be another one on every machine."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or _LOCAL.get(sc.applicationId) or sc.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="voltlake-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _LOCAL[sc.applicationId] = path
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later reads neither recompute it
-    nor depend on an executor that may be lost."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/voltlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def arrow_limits(spark: SparkSession) -> None:
-    """Bound the bytes and rows that go to a Python worker at once; a row goes whole."""
+    """Bound the bytes and rows that go to a Python worker at once; a row goes whole. The frames
+    that are made under these settings run later, so the session keeps them."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
