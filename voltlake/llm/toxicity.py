@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -435,6 +437,14 @@ def _fitted(stems, found: np.ndarray, toxic: np.ndarray) -> Model:
     return Model(stems, *fit_logistic(found, toxic))
 
 
+def _telling(sizes: np.ndarray, without: int | None, min_toxic: int, min_log_odds: float):
+    """Whether a stem's counts pass a setting in all folds but one, as choose_stems asks."""
+    some = [f for f in range(FOLDS) if f != without]
+    total = lambda c: reduce(add, (F.col(f"{c}{f}") for f in some))
+    share = lambda c, n: F.log((total(c) + 0.5) / float(sizes[some, n].sum() + 1))
+    return (total("toxic") >= min_toxic) & (share("toxic", 1) - share("clean", 0) >= min_log_odds - 1e-9)
+
+
 def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, settings=SETTINGS) -> Model:
     spark = documents.sparkSession
     arrow_limits(spark)
@@ -445,14 +455,17 @@ def fit(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, setti
         return Model({})
     least = min(m for m, _ in settings)
     likely = _counts(rows.where("toxic = 1")).groupBy("stem").agg(F.sum("toxic").alias("toxic")).where(F.col("toxic") >= least).select("stem")
-    wanted = spark.sparkContext.broadcast({r["stem"] for r in likely.collect()})  # of at most fit_rows texts
-    counts: dict[str, np.ndarray] = {}
-    for r in _counts(rows, wanted).collect():
-        counts.setdefault(r["stem"], np.zeros((FOLDS, 3), np.int64))[r["fold"]] += (r["toxic"], r["clean"], r["aimed"])
+    wanted = spark.sparkContext.broadcast(set(likely.toArrow()["stem"].to_pylist()))  # of at most fit_rows texts
     sizes = np.zeros((FOLDS, 2), np.int64)
     for r in rows.groupBy(F.pmod(F.crc32(F.encode("text", "UTF-8")), F.lit(FOLDS)).alias("fold"), "toxic").agg(F.count("*").alias("n")).collect():
         sizes[r["fold"], r["toxic"]] = r["n"]
 
+    names = [f"{c}{f}" for f in range(FOLDS) for c in ("toxic", "clean", "aimed")]
+    by_fold = _counts(rows, wanted).groupBy("stem").agg(*(F.sum(F.when(F.col("fold") == int(x[-1]), F.col(x[:-1])).otherwise(0)).alias(x) for x in names))
+    some = reduce(or_, (_telling(sizes, f, *setting) for setting in settings for f in (*range(FOLDS), None)))
+    table_ = by_fold.where(some).select("stem", F.array(*names).alias("n")).toArrow()
+    counts = {s: np.array(x, np.int64).reshape(FOLDS, 3) for s, x in zip(table_["stem"].to_pylist(), table_["n"].to_pylist())}
+
     def stems_of(setting, without=None):
         some = [f for f in range(FOLDS) if f != without]
         return choose_stems({s: x[some].sum(axis=0) for s, x in counts.items()}, int(sizes[some, 1].sum()), int(sizes[some, 0].sum()), *setting)
