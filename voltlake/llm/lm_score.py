@@ -53,7 +53,7 @@ BACKOFF = 5.0
 COARSE = 1 + HEAD + SHAPES  # units of the first step; unit 0 is the end of a text
 #: Contexts that are weighed, and tokens that are read, at once.
 AT_ONCE = 1 << 13
-TOKENS = 1 << 19
+TOKENS = 1 << 20
 
 _STOP = np.zeros(256, np.int64)
 for _b, _k in [*((b, 1) for b in b".!?"), *((b, 2) for b in b",;:")]:
@@ -243,7 +243,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
 
 
 def _context_step(class_of, classes: int):
-    """For each unit its tokens by class after, from cell 0, and by class before, from cell `classes`."""
+    """For each unit its tokens by class after, from cell 0, and by class before, from cell
+    `classes`: cells as cell + 2 * classes * tokens."""
 
     def run(batches):
         of, wide = class_of.value, 2 * classes
@@ -252,9 +253,7 @@ def _context_step(class_of, classes: int):
             unit, cell = np.divmod(keys, wide)
             first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else unit
             at = pa.array(np.append(first, len(unit)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(unit[first], pa.int32()), pa.ListArray.from_arrays(at, pa.array(cell, pa.int32())), pa.ListArray.from_arrays(at, pa.array(n, pa.int64()))], names=["unit", "cells", "ns"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(unit[first], pa.int32()), pa.ListArray.from_arrays(at, pa.array(cell + wide * n, pa.int64()))], names=["unit", "cells"])
 
     return run
 
@@ -290,15 +289,16 @@ def best_classes(unit: np.ndarray, cell: np.ndarray, n: np.ndarray, class_of: np
 
 
 def _move_step(class_of, m):
-    """Rows (unit, cells, ns) sorted by unit: the units that move, and where to."""
+    """Rows (unit, cells) sorted by unit: the units that move, and where to."""
 
     def moves(held):
         rows = pa.Table.from_batches(held).combine_chunks()
         sizes = pc.list_value_length(rows["cells"]).to_numpy()
         unit = np.repeat(rows["unit"].to_numpy(), sizes).astype(np.int64)
         wide = 2 * len(m.value)
-        keys, inverse = np.unique(unit * wide + pc.list_flatten(rows["cells"]).to_numpy(), return_inverse=True)
-        n = np.bincount(inverse, weights=pc.list_flatten(rows["ns"]).to_numpy())
+        times, cell = np.divmod(pc.list_flatten(rows["cells"]).to_numpy(), wide)
+        keys, inverse = np.unique(unit * wide + cell, return_inverse=True)
+        n = np.bincount(inverse, weights=times)
         units, to = best_classes(*np.divmod(keys, wide), n, class_of.value, m.value)
         return pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), pa.array(to, pa.int32())], names=["unit", "to"])
 
@@ -327,7 +327,7 @@ def refine(tokens: DataFrame, class_of: np.ndarray, m: np.ndarray, rounds: int =
     sc, classes = tokens.sparkSession.sparkContext, len(m)
     for k in range(rounds):
         of, pairs = sc.broadcast(class_of), sc.broadcast(m)
-        contexts = tokens.select("units").mapInArrow(_context_step(of, classes), "unit int, cells array<int>, ns array<bigint>")
+        contexts = tokens.select("units").mapInArrow(_context_step(of, classes), "unit int, cells array<bigint>")
         moved = contexts.repartition("unit").sortWithinPartitions("unit").mapInArrow(_move_step(of, pairs), "unit int, to int").toArrow()  # a row a unit at most
         unit, to = moved["unit"].to_numpy(), moved["to"].to_numpy()
         some = mix(unit.astype(U)) % U(2) == U(k % 2) if k < 2 else np.ones(len(unit), bool)
