@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import cut, table
 from .components import connected_components
 
 #: The contract's rules, in its order.
@@ -119,7 +119,7 @@ def judge(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = None) ->
     # Urls themselves are the nodes: no two are ever taken for one.
     component = connected_components(edges.where("source is not null and target is not null"), "source", "target")
     known = pages.select("url").unionAll(edges.select("source")).unionAll(edges.select("target")).where("url is not null").distinct()
-    judged = own_rules(known, rules).join(component, F.col("node") == F.col("url"), "left").drop("node")
+    judged = cut(own_rules(known, rules).join(component, F.col("node") == F.col("url"), "left").drop("node"), "judged")
     own = F.when(F.col("own") == "allow", 2).when(F.col("own") == "block", 1).otherwise(0)
     linked = judged.where("component is not null").withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)))
     decided = linked.groupBy("component", "salt").agg(F.max(own).alias("found"), F.count("*").alias("n")).groupBy("component").agg(F.max("found").alias("found"), F.sum("n").alias("n_aliases"))
