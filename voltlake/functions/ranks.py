@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from ..session import cut
+
+BUCKETS = 32
 
 
 def ranked(df: DataFrame, keys: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """keys, value, n, before, total: how often each value occurs in its group, and how many
     smaller values there are, and values in all. Missing values are left out."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("_one", F.lit(1))
+    counts = cut(counts.withColumn("_one", F.lit(1)), "counts")  # read for the edges, the buckets' sums and the ranks
     group = [*keys, "_one"]
     shares = [i / buckets for i in range(1, buckets)]
     edges = counts.groupBy(*group).agg(F.percentile_approx(value, shares, 100 * buckets).alias("_edges"))
