@@ -1,4 +1,5 @@
 import random
+from functools import cache
 
 import numpy as np
 import pytest
@@ -6,13 +7,17 @@ import pytest
 from voltlake.llm.line_dedup import SHINGLE, band_keys, dedup_lines, forest, rewrite, shingle_sets, shingles, signatures
 
 
+@cache
 def grams(t):
     t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     return {t[i : i + SHINGLE] for i in range(max(1, len(t) - SHINGLE + 1))}
 
 
 def alike(a, b):
-    return len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) - 1e-9
+    x, y = grams(a), grams(b)
+    if min(len(x), len(y)) < 0.8 * max(len(x), len(y)) - 1e-9:  # then no overlap is large enough
+        return False
+    return len(x & y) >= 0.8 * len(x | y) - 1e-9
 
 
 def brute(texts):
