@@ -33,6 +33,11 @@ def total(columns: list[str]) -> Column:
     return reduce(add, (F.coalesce(F.col(c), F.lit(0.0)) for c in columns), F.lit(0.0))
 
 
+def filled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing numbers count 0; whole numbers become doubles."""
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+
+
 def signed_log(c: Column) -> Column:
     return F.signum(c) * F.log1p(F.abs(c))
 

@@ -1,7 +1,8 @@
 """Price models behind one interface: fit on a feature table, score a feature table.
 
-Trees are pyspark.ml's, on an assembled vector. The per-period linear model and the small
-neural net are grouped pandas functions over bounded groups: a period's days, one training set.
+The forest is pyspark.ml's, on an assembled vector; boosted trees are those of `boosting`. The
+per-period linear model and the small neural net are grouped pandas functions over bounded
+groups: a period's days, one training set.
 """
 
 from __future__ import annotations
@@ -16,13 +17,9 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import signed_exp, signed_log
+from ..functions.numbers import filled, signed_exp, signed_log
 from ..session import ship
-
-
-def _filled(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing features count 0; whole numbers become doubles."""
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
+from .boosting import BoostedModel
 
 
 @dataclass
@@ -34,12 +31,12 @@ class TreeModel:
     fitted: PipelineModel | None = None
 
     def fit(self, df: DataFrame) -> TreeModel:
-        data = _filled(df, self.columns).withColumn("label", signed_log(F.col("spot")))
+        data = filled(df, self.columns).withColumn("label", signed_log(F.col("spot")))
         self.fitted = Pipeline(stages=[VectorAssembler(inputCols=self.columns, outputCol="features"), self.regressor]).fit(data)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
-        scored = self.fitted.transform(_filled(df, self.columns)).withColumn("prediction", signed_exp(F.col("prediction")))
+        scored = self.fitted.transform(filled(df, self.columns)).withColumn("prediction", signed_exp(F.col("prediction")))
         return scored.drop("features", "rawPrediction")
 
     def importances(self) -> list[tuple[str, float]]:
@@ -136,7 +133,7 @@ class PeriodLinearModel:
             return pd.DataFrame(out).astype({"weights": object})
 
         ship(df.sparkSession)
-        data = _filled(df, columns).select("settlement_period", "spot", *columns)
+        data = filled(df, columns).select("settlement_period", "spot", *columns)
         self.weights = data.groupBy("settlement_period").applyInPandas(one, "settlement_period int, weights array<double>, intercept double").persist()
         return self
 
@@ -172,7 +169,7 @@ class NeuralModel:
     state: list = field(default_factory=list)
 
     def fit(self, df: DataFrame) -> NeuralModel:
-        data = _filled(df, self.columns).select("settlement_date", signed_log(F.col("spot")).alias("label"), *self.columns).where("label is not null")
+        data = filled(df, self.columns).select("settlement_date", signed_log(F.col("spot")).alias("label"), *self.columns).where("label is not null")
         n = data.count()
         self.state = self._fit_here(data) if n <= self.shard_rows else self._fit_shards(data, -(-n // self.shard_rows))
         return self
@@ -333,7 +330,7 @@ def build(kind: str, columns: list[str], **options):
     if kind == "rf":
         r = RandomForestRegressor(numTrees=300, maxDepth=14, featureSubsetStrategy="0.5", minInstancesPerNode=5, seed=42, subsamplingRate=1.0)
     elif kind == "xgb":
-        r = GBTRegressor(maxIter=300, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=3, seed=42)
+        return BoostedModel(columns, **{"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "minInstancesPerNode": 3, "l1": 0.05, "l2": 1.0} | options)
     elif kind == "lgb":
         r = GBTRegressor(maxIter=500, maxDepth=6, stepSize=0.03, subsamplingRate=0.8, minInstancesPerNode=20, seed=42)
     elif kind == "lear":

@@ -18,6 +18,7 @@ from .operators import clean, features, fleet, forecast, market
 from .operators import dispatch as di
 from .operators import results as re
 from .plans import backtest as bt
+from .session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,7 +415,9 @@ register("soc_profile")(lambda s, d: market.soc_profile(_perfect(s, d, method="m
 
 def _model(kind: str, **options):
     def run(s, d):
-        m = features.feature_matrix(view(s, d, "market_index"), view(s, d, "generation"), view(s, d, "fleet")).persist()
+        m = features.feature_matrix(view(s, d, "market_index"), view(s, d, "generation"), view(s, d, "fleet"))
+        # Written, so that no later plan holds the matrix's; the forest draws rows by partition and keeps those that it had.
+        m = cut(m, "features") if kind == "xgb" else m.persist()
         return forecast.train(m, kind, "2024-01-24", **options)[1]
 
     return run
