@@ -26,16 +26,17 @@ def table(spark, n, seed, kinds=12):
     return spark.createDataFrame([(float(v), *map(float, a)) for v, a in zip(y, x)], "spot double, a double, b double, c double, d double")
 
 
-@pytest.mark.parametrize(("kind", "rounds"), [("xgb", 300)])
+@pytest.mark.parametrize(("kind", "rounds"), [("xgb", 300), ("lgb", 500)])
 def test_all_rounds_in_few_jobs(spark, matrix, kind, rounds):
     matrix.count()
     spark.sparkContext.setJobGroup(f"boosted {kind}", "")
     model, scores, _ = forecast.train(matrix, kind, "2024-01-22")
     fitted = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosted {kind}"))
     spark.sparkContext.setJobGroup("others", "")
+    assert max((t.column < 0).sum() for t in model.trees) <= {"xgb": 64, "lgb": 63}[kind]
     assert len(model.trees) == rounds and fitted < 60  # pyspark.ml's took some 10 a round
     by = {r.part: r for r in scores.collect()}
-    assert (by["train"].n, by["test"].n) == (7 * 48, 3 * 48) and by["train"].rmse < 1.5
+    assert (by["train"].n, by["test"].n) == (7 * 48, 3 * 48) and by["train"].rmse < 3
 
 
 def exhaustive(x, y, rounds, rate, depth, leaves, least, l1, l2):

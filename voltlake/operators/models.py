@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -332,7 +332,7 @@ def build(kind: str, columns: list[str], **options):
     elif kind == "xgb":
         return BoostedModel(columns, **{"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "minInstancesPerNode": 3, "l1": 0.05, "l2": 1.0} | options)
     elif kind == "lgb":
-        r = GBTRegressor(maxIter=500, maxDepth=6, stepSize=0.03, subsamplingRate=0.8, minInstancesPerNode=20, seed=42)
+        return BoostedModel(columns, **{"maxIter": 500, "maxDepth": None, "leaves": 63, "stepSize": 0.03, "minInstancesPerNode": 20, "l1": 0.05} | options)
     elif kind == "lear":
         return PeriodLinearModel(columns, **options)
     elif kind == "dnn":

@@ -417,7 +417,7 @@ def _model(kind: str, **options):
     def run(s, d):
         m = features.feature_matrix(view(s, d, "market_index"), view(s, d, "generation"), view(s, d, "fleet"))
         # Written, so that no later plan holds the matrix's; the forest draws rows by partition and keeps those that it had.
-        m = cut(m, "features") if kind == "xgb" else m.persist()
+        m = cut(m, "features") if kind in ("xgb", "lgb") else m.persist()
         return forecast.train(m, kind, "2024-01-24", **options)[1]
 
     return run
