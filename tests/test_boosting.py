@@ -34,7 +34,7 @@ def test_all_rounds_in_few_jobs(spark, matrix, kind, rounds):
     fitted = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"boosted {kind}"))
     spark.sparkContext.setJobGroup("others", "")
     assert max((t.column < 0).sum() for t in model.trees) <= {"xgb": 64, "lgb": 63}[kind]
-    assert len(model.trees) == rounds and fitted < 60  # pyspark.ml's took some 10 a round
+    assert len(model.trees) == rounds and fitted < 60  # pyspark.ml's took 76 for 12 rounds
     by = {r.part: r for r in scores.collect()}
     assert (by["train"].n, by["test"].n) == (7 * 48, 3 * 48) and by["train"].rmse < 3
 
